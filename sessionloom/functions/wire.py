@@ -10,7 +10,7 @@ from ..schemas import STRIPPED
 
 def fields(value: Column) -> Column:
     """Tab-separated fields; empty fields at the end do not count."""
-    return F.split(F.regexp_replace(value, "\t+$", ""), "\t", -1)
+    return F.split(F.rtrim(value, F.lit("\t")), "\t", -1)
 
 
 def strip_wire(value: Column) -> Column:

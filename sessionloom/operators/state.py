@@ -205,3 +205,48 @@ def merge_state(
     aged = old.select(*keys, (F.col("s") * weight).alias("s"), (F.col("n") * weight).alias("n"))
     fresh = new.select(*keys, F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
     return aged.unionByName(fresh).groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def weighted_sums(df: DataFrame, to_end: Column, gamma: float, seconds: int, groups: list) -> DataFrame:
+    weight = F.pow(F.lit(float(gamma)), to_end.cast("double"))
+    return df.groupBy(*groups).agg(
+        F.sum(F.col("reward").cast("double") * weight).alias("s"),
+        F.sum(weight).alias("n"),
+        F.max(tick_of("ts", seconds)).alias("b"),
+    )
+
+
+def chunk_sums(
+    df: DataFrame, gamma: float, seconds: int, keys: Sequence[str] = KEYS, chunk_cap: int = CHUNK_CAP
+) -> DataFrame:
+    """Rewards and counts per key and chunk of ticks, decayed to the chunk's end; ``b`` is the newest tick.
+
+    Later rows never change the weight of earlier ones, so this is a plain
+    aggregation: partial sums are combined before the shuffle, and it holds for a
+    stream as for a table.
+    """
+    h = chunk_ticks(gamma, chunk_cap)
+    end = F.floor(tick_of("ts", seconds) / h) * h + (h - 1)
+    span = F.window("ts", f"{h * seconds} seconds").alias("span")
+    sums = weighted_sums(df, end - tick_of("ts", seconds), gamma, seconds, [span, *keys])
+    last = F.floor(F.unix_seconds("span.end") / seconds) - 1
+    return sums.select(*keys, last.cast("bigint").alias("end"), "s", "n", "b")
+
+
+def chunk_state(
+    chunks: DataFrame, gamma: float, at: int | Column | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """State at tick ``at`` (default: the newest tick seen) from chunk sums."""
+    last = chunks.select(F.max("b")).scalar() if at is None else (at if isinstance(at, Column) else F.lit(at))
+    weight = F.pow(F.lit(float(gamma)), (F.col("_at") - F.col("end")).cast("double"))
+    if gamma <= 0.0:
+        weight = F.when(F.col("_at") == F.col("end"), 1.0).otherwise(0.0)
+    return (
+        chunks.withColumn("_at", last.cast("bigint"))
+        .groupBy(*keys)
+        .agg(
+            F.max("_at").alias("b"),
+            F.sum(F.col("s") * weight).alias("s"),
+            F.sum(F.col("n") * weight).alias("n"),
+        )
+    )

@@ -13,19 +13,25 @@ FALLBACK_CANDIDATE = 3
 MINUTE = 60
 
 
-def _items(text: Column) -> Column:
-    stripped = F.btrim(text, F.lit(" \t\r\n"))
-    return F.filter(F.split(stripped, FIELD_SEPARATOR), lambda x: x != "")
-
-
-def _as_map(entries: Column, names: Column) -> Column:
-    """A map from ``(k, v)`` entries; a name given twice keeps its last value."""
-    twice = F.size(F.array_distinct(names)) < F.size(names)
+# A name given twice, an empty item or one without a comma: not for the plain map reader.
+IRREGULAR = r"(?s)\t\t|(?:^|\t)[^,\t]*(?:\t|$)|(?:^|\t)([^,\t]*),(?:.*\t)?\1,"
+
+
+def _named(text: Column) -> Column:
+    """A map from the ``name,rest`` items of a tab-separated list; a name given twice keeps its last item."""
+    plain = F.str_to_map(text, F.lit(FIELD_SEPARATOR), F.lit(","))
+    items = F.filter(F.split(text, FIELD_SEPARATOR), lambda x: x != "")
+    entries = F.transform(
+        items,
+        lambda x, i: F.struct(
+            F.substring_index(x, ",", 1).alias("k"), F.get(F.split(x, ",", 2), F.lit(1)).alias("v"), i.alias("i")
+        ),
+    )
     last = F.filter(
-        entries,
-        lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), e["k"]),
+        entries, lambda e: ~F.exists(entries, lambda later: (later["k"] == e["k"]) & (later["i"] > e["i"]))
     )
-    return F.map_from_entries(F.when(twice, last).otherwise(entries))
+    careful = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    return F.when(text.rlike(IRREGULAR), careful).otherwise(plain)
 
 
 def parse_trace(df: DataFrame, value: str = "value", cost_type: str = "double") -> DataFrame:
@@ -35,16 +41,14 @@ def parse_trace(df: DataFrame, value: str = "value", cost_type: str = "double")
     factor)`` steps. Times are milliseconds, cut to whole seconds. A line without
     both marks or with a time that is no number keeps its row, ``ok`` false.
     """
-    def pieces(text: Column) -> Column:
-        return F.transform(_items(text), lambda x: F.split(F.translate(x, ";", ","), ","))
+    def stripped(text: Column) -> Column:
+        return F.btrim(text, F.lit(" \t\r\n"))
 
-    def numbers(piece: Column, parity: int) -> Column:
-        picked = F.filter(piece, lambda x, i: (i > 0) & (i % 2 == parity))
-        return F.transform(picked, lambda x: x.try_cast("double"))
-
-    def steps(piece: Column) -> Column:
+    def steps(numbers: Column) -> Column:
         return F.zip_with(
-            numbers(piece, 1), numbers(piece, 0), lambda thr, factor: F.struct(thr.alias("thr"), factor.alias("factor"))
+            F.filter(numbers, lambda x, i: i % 2 == 0),
+            F.filter(numbers, lambda x, i: i % 2 == 1),
+            lambda thr, factor: F.struct(thr.alias("thr"), factor.alias("factor")),
         )
 
     # Each stage is read several times by the next, so it stays a projection of its own.
@@ -52,22 +56,22 @@ def parse_trace(df: DataFrame, value: str = "value", cost_type: str = "double")
         df.withColumn("_halves", F.split(F.col(value), DECISION_MARK, 2))
         .withColumn("_maps", F.split(F.get("_halves", F.lit(1)), LOAD_MARK, 2))
         .withColumn("_features", fields(F.get("_halves", F.lit(0))))
-        .withColumn("_priced", pieces(F.get("_maps", F.lit(0))))
-        .withColumn("_loaded", pieces(F.get("_maps", F.lit(1))))
+        .withColumn("_priced", stripped(F.get("_maps", F.lit(0))))
+        .withColumn("_loaded", stripped(F.get("_maps", F.lit(1))))
         .withColumn("_millis", F.get("_features", F.lit(0)).try_cast("bigint"))
-        .withColumn("_names", F.transform("_priced", lambda x: x[0]))
-    )
-    costs = F.transform(
-        "_priced", lambda x: F.struct(x[0].alias("k"), F.get(x, F.lit(1)).try_cast(cost_type).alias("v"))
+        .withColumn("_costs", _named(F.col("_priced")))
+        .withColumn(
+            "_loads",
+            F.transform_values(_named(F.col("_loaded")), lambda k, v: F.split(v, ";").try_cast("array<double>")),
+        )
     )
-    loads = F.transform("_loaded", lambda x: F.struct(x[0].alias("k"), steps(x).alias("v")))
     return staged.select(
         *[c for c in df.columns if c != value],
         F.timestamp_seconds(F.floor(F.col("_millis") / 1000)).alias("ts"),
         F.col("_features").alias("features"),
-        F.array_distinct("_names").alias("candidates"),
-        _as_map(costs, F.col("_names")).alias("costs"),
-        _as_map(loads, F.transform("_loaded", lambda x: x[0])).alias("loads"),
+        F.map_keys("_costs").alias("candidates"),
+        F.transform_values("_costs", lambda k, v: v.try_cast(cost_type)).alias("costs"),
+        F.transform_values("_loads", lambda k, v: steps(v)).alias("loads"),
         (F.col("_millis").isNotNull() & (F.size("_halves") == 2) & (F.size("_maps") == 2)).alias("ok"),
     )
 
@@ -134,7 +138,8 @@ def load_share(df: DataFrame, order_by: tuple[str, ...] = ("line_no",)) -> DataF
     begin = first_second(df)
     staged = df.withColumn("minute", F.floor((second_of() - begin) / MINUTE).cast("bigint"))
     totals = staged.groupBy("minute").agg(F.count(F.lit(1)).alias("total_sessions"))
-    numbered = with_ordinal(valid_choice(staged), order_by, ("minute", "decision"), "running")
+    kept = valid_choice(staged).drop("candidates")
+    numbered = with_ordinal(kept, order_by, ("minute", "decision"), "running")
     return numbered.join(totals, "minute").withColumn("load", F.col("running") / F.col("total_sessions"))
 
 

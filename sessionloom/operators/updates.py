@@ -19,13 +19,13 @@ def parse_updates(df: DataFrame, value: str = "value", cost_type: str = "double"
     ``cost_type`` later sums are exact and do not depend on row order.
     """
     message = F.from_json(F.trim(value), UPDATE_JSON)
-    parts = fields(F.col("_m.update"))
-    cost = F.trim(F.get(parts, F.lit(1))).try_cast(cost_type)
-    parsed = df.withColumn("_m", message).select(
+    cost = F.trim(F.get("_parts", F.lit(1))).try_cast(cost_type)
+    staged = df.withColumn("_m", message).withColumn("_parts", fields(F.col("_m.update")))
+    parsed = staged.select(
         *[c for c in df.columns if c != value],
         F.col("_m.group_id").alias("group_id"),
         F.col("_m.cluster_id").alias("cluster_id"),
-        F.get(parts, F.lit(0)).alias("decision"),
+        F.get("_parts", F.lit(0)).alias("decision"),
         cost.alias("cost"),
     )
     complete = F.col("group_id").isNotNull() & F.col("decision").isNotNull() & F.col("cost").isNotNull()

@@ -7,27 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.ticks import tick_of
 from ..operators.messages import format_best, format_picks
 from ..operators.selection import best_by_mean, ucb_picks
-from ..operators.state import discounted_latest
+from ..operators.state import chunk_state, chunk_sums
 from ..operators.updates import parse_updates, valid_updates
 from ..operators.windows import window_scores
+from ..session import materialize
 from ..sources.store import LatestStore
 from ..streaming.run import each_batch
-from ..streaming.state import chunk_state, stream_discounted
-from pyspark.sql import functions as F
+from ..streaming.state import stream_discounted
 
 STATE_KEYS = ("group_id", "decision", "end")
 
 
 def latest_state(messages: DataFrame, gamma: float, seconds: int, cost_type: str = "double") -> DataFrame:
-    """Decayed state at the last tick straight from messages: one weighted aggregation."""
+    """Decayed state at the last tick from messages.
+
+    Messages are read once, into one row per group, decision and chunk of ticks; the
+    last tick and the state come from those few rows, kept in the shared folder.
+    """
     updates = valid_updates(parse_updates(messages, cost_type=cost_type))
-    rows = updates.select(
-        "group_id", "decision", tick_of("ts", seconds).alias("b"), F.col("reward").cast("double").alias("s"), F.lit(1.0).alias("n")
-    )
-    return discounted_latest(rows, gamma)
+    return chunk_state(materialize(chunk_sums(updates, gamma, seconds), "chunks"), gamma)
 
 
 def ucb_decisions(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import keyed_draw
 from ..functions.ticks import tick_of
+from ..session import spread
 from ..schemas import DECISION_MARK, EVENTS, FIELD_SEPARATOR, LOAD_MARK
 
 DAY, HOUR = 86_400, 3_600
@@ -47,7 +48,7 @@ RULES = json.dumps(
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/events.parquet")
+    df = spread(spark.read.parquet(f"{sf}/events.parquet"))
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -83,7 +84,7 @@ def updates(spark: SparkSession, sf: str) -> DataFrame:
 
 def item_updates(spark: SparkSession, sf: str) -> DataFrame:
     """A larger report table: groups are suppliers, decisions return flags."""
-    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_returnflag", "l_shipdate", "l_extendedprice")
     cost = F.col("l_extendedprice").cast(COST)
     return df.select(
         F.col("l_shipdate").cast("timestamp").alias("ts"), text(F.col("l_suppkey")).alias("group_id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import exchange, selection, state
+from ..session import materialize
 from . import inputs as I
 from . import oracle_parts as P
 from .catalog import query
@@ -13,7 +14,8 @@ PUSHED = 3
 
 
 def pairs(spark, sf):
-    return exchange.subscriptions(exchange.parse_subscriptions(I.subscribe_messages(I.events(spark, sf))))
+    heard = exchange.parse_subscriptions(I.subscribe_messages(I.events(spark, sf)))
+    return exchange.subscriptions(heard)
 
 
 SUBS = f"""
@@ -60,7 +62,8 @@ def daily_picks(spark, sf):
     FROM picked JOIN subs USING (group_id) WHERE first_bucket < b AND cluster_id <> '{I.SELF_CLUSTER}'""",
 )
 def push_decisions(spark, sf):
-    pushed = exchange.push_decisions(daily_picks(spark, sf), pairs(spark, sf), I.SELF_CLUSTER)
+    known = materialize(pairs(spark, sf), "pairs")
+    pushed = exchange.push_decisions(daily_picks(spark, sf), known, I.SELF_CLUSTER)
     return pushed.select("group_id", "b", "cluster_id", F.array_join("picks", ":").alias("picks"), "topic")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grouping, messages, traces, updates
 from ..schemas import RECORD_LABELS, REDUCED_LABELS
+from ..session import materialize
 from . import inputs as I
 from . import oracle_parts as P
 from .catalog import query
@@ -141,7 +142,7 @@ def assignment_latest(spark, sf):
            substr({P.MESSAGE}, 1, length({P.MESSAGE}) - 1) || ',"cluster_id":"' || c || '"}}' FROM routed""",
 )
 def route_topic(spark, sf):
-    assigned = grouping.latest_assignment(I.assignments(spark, sf), I.SELF_CLUSTER)
+    assigned = materialize(grouping.latest_assignment(I.assignments(spark, sf), I.SELF_CLUSTER), "assigned")
     routed = grouping.route_updates(I.records(spark, sf), assigned, I.SELF_CLUSTER)
     return routed.select("event_id", "topic", "value")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assignment, selection
+from ..session import materialize
 from . import inputs as I
 from . import oracle_parts as P
 from .catalog import query
@@ -17,11 +18,12 @@ WEIGHTS = [(1, "view", "0.5"), (2, "click", "0.3"), (3, "purchase", "0.1")]
 
 
 def group_best(spark, sf) -> DataFrame:
-    """Best decision of each group over all its reports, with epsilon."""
+    """Best decision of each group over all its reports, with epsilon; stored, as sessions look it up."""
     scores = I.updates(spark, sf).groupBy("group_id", "decision").agg(
         F.sum("reward").cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n")
     )
-    return selection.best_by_mean(scores, ("group_id",)).withColumn("epsilon", F.lit(I.EPSILON))
+    best = selection.best_by_mean(scores, ("group_id",)).withColumn("epsilon", F.lit(I.EPSILON))
+    return materialize(best, "best")
 
 
 @query(
@@ -32,7 +34,7 @@ def group_best(spark, sf) -> DataFrame:
     SELECT event_id, group_id, CASE WHEN list_contains(cands, d) THEN d ELSE {P.FALLBACK} END AS decision FROM drawn""",
 )
 def assign_uniform(spark, sf):
-    picks = ucb_decisions(I.messages(spark, sf), I.GAMMA, I.PICKS, I.DAY, I.COST)
+    picks = materialize(ucb_decisions(I.messages(spark, sf), I.GAMMA, I.PICKS, I.DAY, I.COST), "picks")
     return assignment.assign_uniform(I.sessions(spark, sf), picks).select("event_id", "group_id", "decision")
 
 

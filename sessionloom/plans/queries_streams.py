@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions.ticks import tick_of
 from ..operators import exchange
+from ..operators.state import chunk_state
 from ..session import fresh_path
 from ..sources.store import LatestStore
 from . import inputs as I
@@ -31,7 +32,7 @@ def stream_discounted(spark, sf):
     chunks = _latest(
         spark, streaming.stream_discounted(updates, I.GAMMA, I.DAY, chunk_cap=7), ["group_id", "decision", "end"]
     )
-    state = streaming.chunk_state(chunks, I.GAMMA)
+    state = chunk_state(chunks, I.GAMMA)
     return state.select("group_id", "decision", "b", F.round("s", DIGITS).alias("s"), F.round("n", DIGITS).alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assignment, series, traces
+from ..session import materialize
 from . import inputs as I
 from . import oracle_parts as P
 from .catalog import query
@@ -63,7 +64,7 @@ def trace_sort(spark, sf):
 
 @query("minute_totals", f"WITH {P.TRACE} SELECT minute, count(*) AS total_sessions FROM tr GROUP BY minute")
 def minute_totals(spark, sf):
-    return traces.minute_totals(I.trace(spark, sf))
+    return traces.minute_totals(materialize(I.trace(spark, sf).select("ts"), "times"))
 
 
 PER_SECOND = f"""
@@ -98,7 +99,8 @@ ld AS (SELECT sh.*, total_sessions, CAST(running AS DOUBLE) / total_sessions AS
 
 @query("load_share", f"WITH {SHARE} SELECT line_no, minute, decision, running, total_sessions, load FROM ld")
 def load_share(spark, sf):
-    shares = traces.load_share(I.trace(spark, sf).select("line_no", "ts", "candidates", "decision"))
+    parsed = I.trace(spark, sf).select("line_no", "ts", "candidates", "decision")
+    shares = traces.load_share(materialize(parsed, "parsed"))
     return shares.select("line_no", "minute", "decision", "running", "total_sessions", "load")
 
 
@@ -108,7 +110,8 @@ def load_share(spark, sf):
         CASE WHEN load > 0.5 THEN 2.0 WHEN load > 0.2 THEN 1.5 ELSE 1.0 END AS factor FROM ld""",
 )
 def load_cost_factor(spark, sf):
-    shares = traces.load_share(I.trace(spark, sf).select("line_no", "ts", "candidates", "loads", "decision"))
+    parsed = I.trace(spark, sf).select("line_no", "ts", "candidates", "loads", "decision")
+    shares = traces.load_share(materialize(parsed, "parsed"))
     plain = traces.load_cost_factor(shares).withColumnRenamed("factor", "plain")
     return traces.load_cost_factor(plain, enabled=True).select(
         "line_no", F.col("plain").cast("decimal(2,1)").alias("plain"), F.col("factor").cast("decimal(2,1)").alias("factor")
@@ -141,7 +144,7 @@ def moving_avg_overlap(spark, sf):
 def failover(spark, sf):
     """Session results of two front ends: cost, mode and part."""
     priced = traces.cost_with_fallback(I.trace(spark, sf)).select("line_no", "mode", "cost")
-    rows = assignment.round_robin(priced, 2).drop("ordinal")
+    rows = assignment.round_robin(materialize(priced, "priced"), 2).drop("ordinal")
     return rows.withColumn("part", series.frontend_part())
 
 

@@ -1,10 +1,10 @@
 from .exchange import push_batch, stream_subscriptions, subscription_store
 from .run import keep_latest, run_available
 from .serving import stream_assign
-from .state import chunk_state, epoch_state, stream_discounted, stream_reset
+from .state import epoch_state, stream_discounted, stream_reset
 from .windows import stream_window_scores
 
 __all__ = [
-    "chunk_state", "epoch_state", "keep_latest", "push_batch", "run_available", "stream_assign",
+    "epoch_state", "keep_latest", "push_batch", "run_available", "stream_assign",
     "stream_discounted", "stream_reset", "stream_subscriptions", "stream_window_scores", "subscription_store",
 ]

@@ -15,19 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ticks import tick_of
-from ..operators.state import CHUNK_CAP, KEYS, chunk_ticks
+from ..operators.state import CHUNK_CAP, KEYS, chunk_state, chunk_sums, chunk_ticks, weighted_sums
 from ..schemas import RESET_EVERY
 
 
-def _weighted(df: DataFrame, to_end: Column, gamma: float, seconds: int, groups: list) -> DataFrame:
-    weight = F.pow(F.lit(float(gamma)), to_end.cast("double"))
-    return df.groupBy(*groups).agg(
-        F.sum(F.col("reward").cast("double") * weight).alias("s"),
-        F.sum(weight).alias("n"),
-        F.max(tick_of("ts", seconds)).alias("b"),
-    )
-
-
 def stream_discounted(
     df: DataFrame,
     gamma: float,
@@ -36,37 +27,13 @@ def stream_discounted(
     delay: str | None = None,
     chunk_cap: int = CHUNK_CAP,
 ) -> DataFrame:
-    """Chunk sums per key, for update mode; :func:`chunk_state` reads the state off them.
+    """Chunk sums per key, for update mode; :func:`~sessionloom.operators.state.chunk_state` reads the state off them.
 
     With ``delay`` a watermark drops the state of chunks that have passed; without
     it rows may come in any order, however late.
     """
-    h = chunk_ticks(gamma, chunk_cap)
     staged = df.withWatermark("ts", delay) if delay else df
-    end = F.floor(tick_of("ts", seconds) / h) * h + (h - 1)
-    span = F.window("ts", f"{h * seconds} seconds").alias("span")
-    sums = _weighted(staged, end - tick_of("ts", seconds), gamma, seconds, [span, *keys])
-    last = F.floor(F.unix_seconds("span.end") / seconds) - 1
-    return sums.select(*keys, last.cast("bigint").alias("end"), "s", "n", "b")
-
-
-def chunk_state(
-    chunks: DataFrame, gamma: float, at: int | Column | None = None, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """State at tick ``at`` (default: the newest tick seen) from chunk sums."""
-    last = chunks.select(F.max("b")).scalar() if at is None else (at if isinstance(at, Column) else F.lit(at))
-    weight = F.pow(F.lit(float(gamma)), (F.col("_at") - F.col("end")).cast("double"))
-    if gamma <= 0.0:
-        weight = F.when(F.col("_at") == F.col("end"), 1.0).otherwise(0.0)
-    return (
-        chunks.withColumn("_at", last.cast("bigint"))
-        .groupBy(*keys)
-        .agg(
-            F.max("_at").alias("b"),
-            F.sum(F.col("s") * weight).alias("s"),
-            F.sum(F.col("n") * weight).alias("n"),
-        )
-    )
+    return chunk_sums(staged, gamma, seconds, keys, chunk_cap)
 
 
 def stream_reset(
@@ -87,7 +54,7 @@ def stream_reset(
     offset = F.pmod(tick_of("ts", seconds) - F.lit(origin), F.lit(every))
     part = F.floor(offset / h)
     end = F.least(part * h + (h - 1), F.lit(every - 1))
-    sums = _weighted(staged, end - offset, gamma, seconds, [span, part.alias("part"), *keys])
+    sums = weighted_sums(staged, end - offset, gamma, seconds, [span, part.alias("part"), *keys])
     first = F.floor(F.unix_seconds("span.start") / seconds)
     return sums.select(
         *keys,
