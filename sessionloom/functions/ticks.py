@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def utc(ts: Column | str) -> Column:
+    """A time without zone read as UTC, whatever zone the session has."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), ts))
+
+
 def tick_of(ts: Column | str, seconds: int) -> Column:
     """Index of the tick of ``seconds`` length that holds ``ts``."""
     column = F.col(ts) if isinstance(ts, str) else ts

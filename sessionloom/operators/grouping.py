@@ -105,13 +105,19 @@ def latest_assignment(
     """
     entries = df.select(
         *order, F.posexplode(F.from_json(value, ASSIGNMENT_JSON)["GroupAssignment"]).alias("_pos", "_entry")
+    ).select(
+        *order, "_pos", F.lit(1).alias("_sent"), F.col("_entry.GroupName").alias("group_id"),
+        F.col("_entry.Cluster").alias("cluster_id"),
     )
-    latest = entries.groupBy(F.col("_entry.GroupName").alias("group_id")).agg(
-        F.max_by(F.col("_entry.Cluster"), F.struct(*order, "_pos")).alias("cluster_id")
+    seed = df.sparkSession.createDataFrame(
+        [(UNMATCHED_GROUP, self_cluster, 0)], "group_id string, cluster_id string, _sent int"
+    )
+    return (
+        entries.filter(F.col("group_id").isNotNull())
+        .unionByName(seed, allowMissingColumns=True)
+        .groupBy("group_id")
+        .agg(F.max_by("cluster_id", F.struct("_sent", *order, "_pos")).alias("cluster_id"))
     )
-    seed = df.sparkSession.createDataFrame([(UNMATCHED_GROUP, self_cluster)], "group_id string, _seed string")
-    joined = latest.filter(F.col("group_id").isNotNull()).join(F.broadcast(seed), "group_id", "full")
-    return joined.select("group_id", F.coalesce("cluster_id", "_seed").alias("cluster_id"))
 
 
 def route_updates(

@@ -16,28 +16,28 @@ def response_summary(headers: DataFrame, rows: DataFrame, by: Sequence[str] = ()
     """Sent, succeeded, failed, mean seconds, mean response time and real rate, per run or overall.
 
     Logs hold successes only. The real rate is requests sent over the mean sending
-    time of the workers.
+    time of the workers. Headers and rows are totalled in one aggregation.
     """
-    sent = headers.groupBy(*by).agg(
-        F.sum("sent").cast("bigint").alias("sent"),
-        F.sum("seconds").cast("double").alias("_seconds"),
-        F.count(F.lit(1)).alias("_workers"),
-    )
-    got = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("succeeded"), F.sum("rt").cast("double").alias("_rt")
+    headed = headers.select(*by, "sent", "seconds", F.lit(1).alias("_worker"))
+    logged = rows.select(*by, "rt", F.lit(1).alias("_row"))
+    totals = (
+        headed.unionByName(logged, allowMissingColumns=True)
+        .groupBy(*by)
+        .agg(
+            F.sum("sent").cast("bigint").alias("sent"),
+            F.sum("seconds").cast("double").alias("_seconds"),
+            F.count("_worker").alias("_workers"),
+            F.count("_row").alias("succeeded"),
+            F.sum("rt").cast("double").alias("_rt"),
+        )
+        .filter(F.col("_workers") > 0)
     )
-    if by:
-        joined = sent.join(got, list(by), "left")
-    else:
-        # Two one-row totals side by side.
-        joined = sent.withColumn("_one", F.lit(1)).join(got.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    succeeded = F.coalesce(F.col("succeeded"), F.lit(0))
     mean_seconds = F.col("_seconds") / F.col("_workers")
-    return joined.select(
+    return totals.select(
         *by,
         "sent",
-        succeeded.alias("succeeded"),
-        (F.col("sent") - succeeded).alias("failed"),
+        "succeeded",
+        (F.col("sent") - F.col("succeeded")).alias("failed"),
         mean_seconds.alias("mean_seconds"),
         (F.col("_rt") / F.nullif(F.col("succeeded"), F.lit(0))).alias("mean_rt"),
         (F.col("sent") / F.nullif(mean_seconds, F.lit(0.0))).alias("rate"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import keyed_draw
-from ..functions.ticks import tick_of
+from ..functions.ticks import tick_of, utc
 from ..session import spread
 from ..schemas import DECISION_MARK, EVENTS, FIELD_SEPARATOR, LOAD_MARK
 
@@ -49,13 +49,13 @@ RULES = json.dumps(
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     df = spread(spark.read.parquet(f"{sf}/events.parquet"))
-    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+    return df.withColumn("ts", utc("ts"))
 
 
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     # A pattern, since a stream takes a folder or a pattern but no single file.
     df = spark.readStream.schema(EVENTS).parquet(f"{sf}/events*.parquet")
-    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+    return df.withColumn("ts", utc("ts"))
 
 
 def text(column: Column) -> Column:
@@ -87,7 +87,7 @@ def item_updates(spark: SparkSession, sf: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_returnflag", "l_shipdate", "l_extendedprice")
     cost = F.col("l_extendedprice").cast(COST)
     return df.select(
-        F.col("l_shipdate").cast("timestamp").alias("ts"), text(F.col("l_suppkey")).alias("group_id"),
+        utc("l_shipdate").alias("ts"), text(F.col("l_suppkey")).alias("group_id"),
         F.col("l_returnflag").alias("decision"), cost.alias("cost"), (-cost).alias("reward"),
     )
 

@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.ticks import utc
 from ..schemas import MESSAGE
 from ..session import fresh_path
 
@@ -41,7 +43,8 @@ def read_messages(
         return reader.load(path).select("value", F.col("_metadata.file_modification_time").alias("ts"))
     df = reader.schema(schema).load(path)
     # A time without zone is no event time to a watermark.
-    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
+    unzoned = "ts" in df.columns and isinstance(df.schema["ts"].dataType, T.TimestampNTZType)
+    return df.withColumn("ts", utc("ts")) if unzoned else df
 
 
 def union_streams(*dfs: DataFrame) -> DataFrame:
