@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import keyed_draw
-from ..functions.ticks import tick_of
+from ..functions.ticks import number_line, tick_of
 from ..functions.wire import fields
 from ..schemas import MANAGEMENT_LABELS, TOPIC_ALIVE, TOPIC_DECISION, TOPIC_INTERNAL, TOPIC_SUBSCRIBE, TOPIC_UPLOAD
 from .lookup import lookup_join
@@ -106,11 +106,8 @@ def heartbeat(df: DataFrame, clusters: Sequence[str], seconds: int) -> DataFrame
     """One row per configured cluster and tick, with the records seen; empty ticks are alive too."""
     seen = df.groupBy("cluster_id", tick_of("ts", seconds).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     span = df.agg(F.min(tick_of("ts", seconds)).alias("lo"), F.max(tick_of("ts", seconds)).alias("hi"))
-    spine = (
-        span.filter(F.col("lo").isNotNull())
-        .select(F.explode(F.sequence("lo", "hi")).alias("b"))
-        .withColumn("cluster_id", F.explode(F.array(*[F.lit(c) for c in clusters])))
-    )
+    ticks = number_line(span, "lo", "hi", "b")
+    spine = ticks.withColumn("cluster_id", F.explode(F.array(*[F.lit(c) for c in clusters])))
     return spine.join(seen, ["cluster_id", "b"], "left").select(
         "cluster_id",
         "b",

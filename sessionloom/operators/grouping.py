@@ -120,6 +120,12 @@ def latest_assignment(
     )
 
 
+def cluster_of(df: DataFrame, assignment: DataFrame, self_cluster: str) -> DataFrame:
+    """Add the cluster of each row's group; a group without one belongs to the own cluster."""
+    joined = lookup_join(df, assignment.select("group_id", "cluster_id"), ["group_id"], "left")
+    return joined.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(self_cluster)))
+
+
 def route_updates(
     df: DataFrame,
     assignment: DataFrame,
@@ -131,14 +137,13 @@ def route_updates(
 
     Groups of the own cluster, and groups without one, go to the internal topic.
     """
-    routed = lookup_join(df, assignment, ["group_id"], "left")
-    cluster = F.coalesce(F.col("cluster_id"), F.lit(self_cluster))
-    topic = F.when(cluster == self_cluster, TOPIC_INTERNAL).otherwise(TOPIC_EXTERNAL)
+    routed = cluster_of(df, assignment, self_cluster)
+    topic = F.when(F.col("cluster_id") == self_cluster, TOPIC_INTERNAL).otherwise(TOPIC_EXTERNAL)
     reduced = F.to_json(
         F.struct(
             keep_labels(F.col("update"), labels, kept).alias("update"),
             F.col("group_id"),
-            cluster.alias("cluster_id"),
+            F.col("cluster_id"),
         )
     )
     messages = F.array(

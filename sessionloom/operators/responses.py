@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ticks import number_line
 from .ordinal import previous_value, with_ordinal
 
 QUANTILE_ACCURACY = 10_000
@@ -64,11 +65,8 @@ def response_by(rows: DataFrame, time: str = "sent", start: Column | None = None
         F.count(F.lit(1)).alias("succeeded"),
         F.round(F.sum("rt") / F.count(F.lit(1)), 3).alias("mean_rt"),
     )
-    spine = (
-        staged.agg(F.ceil(F.max("_at")).cast("bigint").alias("_hi"))
-        .filter(F.col("_hi").isNotNull())
-        .select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_hi"))).alias("second"))
-    )
+    span = staged.agg(F.lit(0).cast("bigint").alias("_lo"), F.ceil(F.max("_at")).cast("bigint").alias("_hi"))
+    spine = number_line(span, "_lo", "_hi", "second")
     unit = 1000 if millis else 1
     return spine.join(seen, "second", "left").select(
         "second",

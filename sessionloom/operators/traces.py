@@ -65,11 +65,17 @@ def parse_trace(df: DataFrame, value: str = "value", cost_type: str = "double")
             F.transform_values(_named(F.col("_loaded")), lambda k, v: F.split(v, ";").try_cast("array<double>")),
         )
     )
+    # Not taken from the map: filters on candidates are pushed down to the scan, and are cheaper without it.
+    names = F.array_distinct(
+        F.transform(
+            F.filter(F.split("_priced", FIELD_SEPARATOR), lambda x: x != ""), lambda x: F.substring_index(x, ",", 1)
+        )
+    )
     return staged.select(
         *[c for c in df.columns if c != value],
         F.timestamp_seconds(F.floor(F.col("_millis") / 1000)).alias("ts"),
         F.col("_features").alias("features"),
-        F.map_keys("_costs").alias("candidates"),
+        names.alias("candidates"),
         F.transform_values("_costs", lambda k, v: v.try_cast(cost_type)).alias("costs"),
         F.transform_values("_loads", lambda k, v: steps(v)).alias("loads"),
         (F.col("_millis").isNotNull() & (F.size("_halves") == 2) & (F.size("_maps") == 2)).alias("ok"),

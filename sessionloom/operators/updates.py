@@ -20,7 +20,9 @@ def parse_updates(df: DataFrame, value: str = "value", cost_type: str = "double"
     """
     message = F.from_json(F.trim(value), UPDATE_JSON)
     cost = F.trim(F.get("_parts", F.lit(1))).try_cast(cost_type)
-    staged = df.withColumn("_m", message).withColumn("_parts", fields(F.col("_m.update")))
+    # One-element explode: filters on parsed fields stay above it, so the JSON is read once a row.
+    once = df.withColumn("_m", F.explode(F.array(message)))
+    staged = once.withColumn("_parts", fields(F.col("_m.update")))
     parsed = staged.select(
         *[c for c in df.columns if c != value],
         F.col("_m.group_id").alias("group_id"),

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import keyed_draw
 from ..functions.ticks import tick_of, utc
-from ..session import spread
+from ..operators.traces import parse_trace
 from ..schemas import DECISION_MARK, EVENTS, FIELD_SEPARATOR, LOAD_MARK
+from ..session import materialize, spread
 
 DAY, HOUR = 86_400, 3_600
 COST = "decimal(18,2)"
@@ -48,7 +49,7 @@ RULES = json.dumps(
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    df = spread(spark.read.parquet(f"{sf}/events.parquet"))
+    df = spark.read.parquet(f"{sf}/events.parquet")
     return df.withColumn("ts", utc("ts"))
 
 
@@ -121,7 +122,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     """Full wire records with their group."""
     cost = text(F.col("value").cast(COST))
     record = F.concat_ws(FIELD_SEPARATOR, F.concat_ws(FIELD_SEPARATOR, features()), "event_type", cost)
-    return events(spark, sf).select("event_id", "ts", "user_id", record.alias("update"), group().alias("group_id"))
+    return spread(events(spark, sf)).select("event_id", "ts", "user_id", record.alias("update"), group().alias("group_id"))
 
 
 def message() -> Column:
@@ -135,7 +136,7 @@ def as_messages(df: DataFrame) -> DataFrame:
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Reduced update messages, all well formed."""
-    return as_messages(events(spark, sf))
+    return as_messages(spread(events(spark, sf)))
 
 
 def mixed_messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +154,7 @@ def mixed_messages(spark: SparkSession, sf: str) -> DataFrame:
         .when(way == 4, F.to_json(F.struct(F.concat(update, F.lit("\t\t")).alias("update"), group().alias("group_id"))))
         .otherwise(F.concat(F.lit("  "), good, F.lit(" ")))
     )
-    return events(spark, sf).select("event_id", "ts", value.alias("value"))
+    return spread(events(spark, sf)).select("event_id", "ts", value.alias("value"))
 
 
 def assignments(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,16 +198,15 @@ def trace_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(LOAD_MARK), loads,
     )
     served = F.when(keyed_draw(F.col("event_id"), 50, "served") == 0, "none").otherwise(F.col("event_type"))
-    return events(spark, sf).select(
+    return spread(events(spark, sf)).select(
         F.col("event_id").alias("line_no"), line.alias("value"), served.alias("decision"),
         (keyed_draw(F.col("event_id"), 20, "answered") != 0).alias("answered"),
     )
 
 
 def trace(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.traces import parse_trace
-
-    return parse_trace(trace_lines(spark, sf), cost_type="decimal(18,3)")
+    """Parsed trace. The lines are stored first, as a trace comes from files."""
+    return parse_trace(materialize(trace_lines(spark, sf), "lines"), cost_type="decimal(18,3)")
 
 
 def response_rows(spark: SparkSession, sf: str) -> DataFrame:

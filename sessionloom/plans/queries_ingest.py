@@ -56,8 +56,7 @@ def build_update(spark, sf):
     WHERE valid""",
 )
 def feedback_record(spark, sf):
-    lines = I.trace_lines(spark, sf)
-    served = traces.chosen_cost(traces.valid_choice(traces.parse_trace(lines, cost_type="decimal(18,3)")))
+    served = traces.chosen_cost(traces.valid_choice(I.trace(spark, sf)))
     return updates.feedback(served).select("line_no", "update", F.unix_seconds("due").alias("due"))
 
 
@@ -147,6 +146,30 @@ def route_topic(spark, sf):
     return routed.select("event_id", "topic", "value")
 
 
+@query(
+    "group_cluster_join",
+    f"""WITH {ASSIGNED} SELECT event_id, coalesce(cluster_id, '{I.SELF_CLUSTER}') AS cluster_id
+    FROM (SELECT event_id, CAST(user_id % 9 AS VARCHAR) AS group_id FROM events) LEFT JOIN latest USING (group_id)""",
+)
+def group_cluster_join(spark, sf):
+    """Cluster of each session's group; the own one for a group without."""
+    assigned = materialize(grouping.latest_assignment(I.assignments(spark, sf), I.SELF_CLUSTER), "assigned")
+    return grouping.cluster_of(I.sessions(spark, sf), assigned, I.SELF_CLUSTER).select("event_id", "cluster_id")
+
+
+@query(
+    "parse_requests",
+    f"""SELECT event_id, array_to_string({P.FEATURES}, '|') AS features, array_to_string({P.CANDIDATES}, '|') AS candidates
+        FROM events""",
+)
+def parse_requests(spark, sf):
+    record = F.concat_ws("\t", F.concat_ws("\t", "features"), F.concat_ws("\t", "candidates"))
+    requests = traces.parse_requests(I.sessions(spark, sf).select("event_id", record.alias("value")))
+    return requests.select(
+        "event_id", F.array_join("features", "|").alias("features"), F.array_join("candidates", "|").alias("candidates")
+    )
+
+
 ASN, CITY, OS = "user_id % 8", "user_id % 5", "event_id % 3"
 MATCHED = f"""CASE WHEN {ASN} = 4 AND {OS} = 0 THEN 'os-zero' WHEN {ASN} = 2 AND {CITY} = 3 THEN 'west-three'
     WHEN {ASN} = 2 THEN 'west' WHEN {ASN} = 1 AND {CITY} = 2 THEN 'one-two'

@@ -18,16 +18,29 @@ SETTINGS = {
 }
 
 
-def build_session(app: str = "sessionloom", master: str | None = None, **extra: str) -> SparkSession:
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions(data_bytes: int) -> int:
+    """Shuffle partitions so that one holds about 128 MB when all of the data is shuffled."""
+    return max(8, -(-data_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "sessionloom", master: str | None = None, data_bytes: int | None = None, **extra: str
+) -> SparkSession:
     """A session with UTC time, adaptive execution and the RocksDB state store.
 
     ``master`` is for local runs; on a cluster leave it to the submit command.
+    ``data_bytes`` is the size of the largest input: shuffles start with partitions
+    for all of it, and adaptive execution merges those that turn out small.
     ``extra`` keys use ``__`` for ``.`` (``spark__driver__memory="8g"``).
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}
+    sized = {} if data_bytes is None else {"spark.sql.shuffle.partitions": str(shuffle_partitions(data_bytes))}
+    settings = {**SETTINGS, **sized, **{k.replace("__", "."): v for k, v in extra.items()}}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
