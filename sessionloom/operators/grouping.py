@@ -18,7 +18,7 @@ from ..schemas import (
     TOPIC_UPLOAD,
     UNMATCHED_GROUP,
 )
-from .lookup import lookup_join
+from .lookup import ROW_OVERHEAD, lookup_join
 from .updates import keep_labels
 
 EXPRESSION_PATHS = 64  # more paths than this are matched by joins
@@ -65,7 +65,8 @@ def _matched_by_joins(df: DataFrame, paths: Sequence[RulePath], features: str) -
         )
         for key, position in zip(keys, positions, strict=True):
             df = df.withColumn(key, _field(features, position))
-        df = lookup_join(df, table, keys, "left").drop(*keys)
+        size = sum(ROW_OVERHEAD + sum(len(str(cell)) for cell in row) for row in rows)
+        df = lookup_join(df, table, keys, "left", size=size).drop(*keys)
     ranked = F.array_max(F.array_compact(F.array(*found)))
     return df.withColumn("_matched", ranked["group"]).drop(*found)
 

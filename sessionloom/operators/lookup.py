@@ -24,12 +24,15 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     limit_bytes: int = BROADCAST_BYTES,
+    size: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` with ``table`` on equal ``on`` columns.
 
     A table measured to be small is broadcast, so the facts are not shuffled and
     a hot key costs nothing. A larger one goes through a shuffle join, where
-    adaptive execution splits the partitions of hot keys on the facts side.
+    adaptive execution splits the partitions of hot keys on the facts side. ``size``
+    in bytes saves the measuring where it is known.
     """
-    side = F.broadcast(table) if fits_broadcast(table, limit_bytes) else table
+    small = fits_broadcast(table, limit_bytes) if size is None else size <= limit_bytes
+    side = F.broadcast(table) if small else table
     return facts.join(side, on=on, how=how)

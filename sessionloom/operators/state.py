@@ -250,3 +250,18 @@ def chunk_state(
             F.sum(F.col("n") * weight).alias("n"),
         )
     )
+
+
+def fold_closed(chunks: DataFrame, gamma: float, open_ticks: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Chunk sums with all chunks that ended more than ``open_ticks`` before the newest tick made one per key.
+
+    For chunks that get no more rows. The state read from the result is the same,
+    and a key holds few rows however long its stream runs.
+    """
+    cutoff = chunks.select(F.max("b")).scalar() - F.lit(open_ticks + 1)
+    end = F.greatest(F.col("end"), cutoff)
+    weight = F.pow(F.lit(float(gamma)), (end - F.col("end")).cast("double"))
+    folded = chunks.groupBy(*keys, end.alias("_end")).agg(
+        F.sum(F.col("s") * weight).alias("s"), F.sum(F.col("n") * weight).alias("n"), F.max("b").alias("b")
+    )
+    return folded.select(*keys, F.col("_end").alias("end"), "s", "n", "b")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.messages import format_best, format_picks
 from ..operators.selection import best_by_mean, ucb_picks
-from ..operators.state import chunk_state, chunk_sums
+from ..operators.state import CHUNK_CAP, chunk_state, chunk_sums, fold_closed
 from ..operators.updates import parse_updates, valid_updates
 from ..operators.windows import window_scores
 from ..session import materialize
@@ -53,21 +53,34 @@ def decision_stream(
     seconds: int = 2,
     origin: str = "",
     trigger: dict | None = None,
+    delay_seconds: int | None = None,
+    chunk_cap: int = CHUNK_CAP,
 ) -> StreamingQuery:
     """Keep the decayed state of a message stream and publish picks after every batch.
 
     Each batch merges its changed chunk sums into the stored state and picks for all
-    known groups at the newest tick, also for those without new rows.
+    known groups at the newest tick, also for those without new rows. With
+    ``delay_seconds`` rows later than that are dropped, and both the stream's state
+    and the stored one stay small: chunks that can get no more rows are folded.
     """
     updates = valid_updates(parse_updates(messages))
     store = LatestStore(messages.sparkSession, state_path, STATE_KEYS)
 
+    fold, delay = None, None
+    if delay_seconds is not None:
+        delay = f"{delay_seconds} seconds"
+        open_ticks = -(-delay_seconds // seconds) + 1
+
+        def fold(table: DataFrame) -> DataFrame:
+            return fold_closed(table, gamma, open_ticks)
+
     def serve(batch: DataFrame, batch_id: int) -> None:
-        store.merge(batch, batch_id)
+        store.merge(batch, batch_id, fold)
         state = chunk_state(store.read(before=batch_id + 1), gamma)
         publish(format_picks(ucb_picks(state, gamma, k), origin), batch_id)
 
-    return each_batch(stream_discounted(updates, gamma, seconds), serve, checkpoint, "update", trigger)
+    changed = stream_discounted(updates, gamma, seconds, delay=delay, chunk_cap=chunk_cap)
+    return each_batch(changed, serve, checkpoint, "update", trigger)
 
 
 def best_messages(best: DataFrame, epsilon: float, origin: str) -> DataFrame:

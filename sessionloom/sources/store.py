@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +45,13 @@ class LatestStore:
         usable = [v for v in self.versions() if before is None or v < before]
         return self.spark.read.parquet(self._folder(usable[-1])) if usable else None
 
-    def merge(self, rows: DataFrame, version: int) -> None:
-        """Write ``version``: ``rows``, unique in the keys, over the rows of the version before."""
+    def merge(
+        self, rows: DataFrame, version: int, compact: Callable[[DataFrame], DataFrame] | None = None
+    ) -> None:
+        """Write ``version``: ``rows``, unique in the keys, over the rows of the version before.
+
+        ``compact`` may shrink the merged table before it is written.
+        """
         old = self.read(before=version)
         columns = rows.columns
         table = rows
@@ -55,6 +60,8 @@ class LatestStore:
             kept = [c for c in columns if c not in self.keys]
             newest = F.max_by(F.struct(*kept), "_new").alias("_row")
             table = ranked.groupBy(*self.keys).agg(newest).select(*self.keys, "_row.*").select(*columns)
+        if compact is not None:
+            table = compact(table).select(*columns)
         table.write.mode("overwrite").parquet(self._folder(version))
         self._prune(version)
 

@@ -178,6 +178,36 @@ def test_decision_stream_ends_with_the_batch_picks(spark, sf, split_events):
     assert len(published) >= FILES and published[max(published)] == expected
 
 
+@pytest.mark.parametrize("gamma", [0.0, 0.9, 1.0])
+def test_folded_chunks_give_the_same_state(spark, sf, gamma):
+    chunks = state.chunk_sums(inputs.updates(spark, sf), gamma, inputs.DAY, chunk_cap=2)
+    folded = state.fold_closed(chunks, gamma, 3)
+    assert folded.count() < chunks.count()
+    assert folded.groupBy("group_id", "decision", "end").count().filter("count > 1").count() == 0
+    again = state.fold_closed(folded, gamma, 1)
+    expected = as_dict(state.chunk_state(chunks, gamma), "group_id", "decision")
+    for table in (folded, again):
+        assert_close(as_dict(state.chunk_state(table, gamma), "group_id", "decision"), expected)
+
+
+def test_decision_stream_with_a_delay_keeps_little_state(spark, sf):
+    ordered = fresh_path(spark, "ordered")
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    for low in range(0, 1000, 125):
+        rows.filter((F.col("event_id") >= low) & (F.col("event_id") < low + 125)).coalesce(1).write.mode("append").parquet(ordered)
+    published, root = {}, fresh_path(spark, "state")
+    query = decision_stream(
+        inputs.as_messages(stream_of(spark, ordered)), root, fresh_path(spark, "mark"),
+        lambda df, i: published.update({i: sorted(r.value for r in df.collect())}), inputs.GAMMA, 5, inputs.DAY, "edge",
+        {"availableNow": True}, delay_seconds=inputs.DAY, chunk_cap=2,
+    )
+    query.awaitTermination()
+    batch = ucb_decisions(inputs.messages(spark, sf), inputs.GAMMA, 5, inputs.DAY)
+    assert published[max(published)] == sorted(f"{r.group_id};{':'.join(r.picks)}:;From: edge" for r in batch.collect())
+    stored = LatestStore(spark, root, ["group_id", "decision", "end"]).read()
+    assert stored.groupBy("group_id", "decision").count().agg(F.max("count")).first()[0] <= 5
+
+
 def test_store_replays_and_prunes(spark):
     store = LatestStore(spark, fresh_path(spark, "store"), ["k"])
 
