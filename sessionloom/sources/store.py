@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEPT_VERSIONS = 2
+KEPT_VERSIONS = 20
 
 
 class LatestStore:
@@ -15,11 +15,11 @@ class LatestStore:
 
     A micro-batch merges its rows with the newest version before its own and writes
     its own version, so a replayed batch gives the same table again. Readers take
-    the newest finished version.
+    the newest finished version; ``keep`` older ones stay for readers still at work.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], keep: int = KEPT_VERSIONS):
+        self.spark, self.path, self.keys, self.keep = spark, path.rstrip("/"), list(keys), keep
 
     def _folder(self, version: int) -> str:
         return f"{self.path}/version={version:012d}"
@@ -66,6 +66,6 @@ class LatestStore:
         self._prune(version)
 
     def _prune(self, version: int) -> None:
-        for old in [v for v in self.versions() if v < version][:-KEPT_VERSIONS]:
+        for old in [v for v in self.versions() if v < version][: -self.keep]:
             where, fs = self._hadoop(self._folder(old))
             fs.delete(where, True)

@@ -209,7 +209,7 @@ def test_decision_stream_with_a_delay_keeps_little_state(spark, sf):
 
 
 def test_store_replays_and_prunes(spark):
-    store = LatestStore(spark, fresh_path(spark, "store"), ["k"])
+    store = LatestStore(spark, fresh_path(spark, "store"), ["k"], keep=2)
 
     def rows(*pairs):
         return spark.createDataFrame(list(pairs), "k string, v int")
