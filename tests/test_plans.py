@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
+from sessionloom.plans import catalog
 from sessionloom.operators import state, windows
 from sessionloom.plans import inputs
 
@@ -16,9 +16,9 @@ def plan_of(df) -> str:
     return text[text.index("== Physical Plan"):]
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(entry.queries()) if not n.startswith(("stream_", "src_", "snk_"))])
+@pytest.mark.parametrize("name", [n for n in sorted(catalog.QUERIES) if not n.startswith(("stream_", "src_", "snk_"))])
 def test_no_banned_operator(spark, sf, name):
-    plan = plan_of(entry.queries()[name](spark, sf))
+    plan = plan_of(catalog.QUERIES[name](spark, sf))
     assert [word for word in BANNED if word in plan] == []
 
 
