@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import perspectives, quality_lines
+from . import bpe_counts, perspectives, quality_lines, secret_index
 from .oracles import PERSPECTIVES_SQL, QUALITY_SQL
-from .registry import query, table
+from .registry import query, table, vocabulary
+
+TOKEN_LIMIT = 2048
+WORD_VOCABULARY = "word_bpe_49k.json"
+
+
+@query("op3_bpe_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document."""
+    return bpe_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), TOKEN_LIMIT)
 
 
 @query("op4_perspectives", PERSPECTIVES_SQL)
@@ -18,6 +27,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mask", F.array_join(spans, ","))
 
 
+@query("op7_secret_index")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the secrets of every document."""
+    found = secret_index.scan(table(spark, sf_dir, "documents"))
+    base = [rule.kind for rule in secret_index.BASE]
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in base]
+    own = F.filter("found", lambda s: s["kind"].isin(*base))
+    return found.select("doc_id", *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 @query("op8_quality_lines", QUALITY_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document, with the characters its passing lines hold."""

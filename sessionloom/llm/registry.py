@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def load() -> None:
     """Import the modules that list queries."""
     from . import queries  # noqa: F401
