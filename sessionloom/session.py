@@ -61,9 +61,21 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this run in the shared folder; it is removed when the driver's JVM ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/sessionloom-{context.applicationId}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(context._jsc.hadoopConfiguration())
+    if not system.exists(hadoop):
+        system.mkdirs(hadoop)
+        system.deleteOnExit(hadoop)
+    return path
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the folder of this run that nothing else uses."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -80,8 +92,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Row placement (partition ids, sampled range bounds) is fixed by the written
-    table, so later stages agree on it even when executors are lost.
+    table, so later stages agree on it even when executors are lost. ``discard`` removes
+    the table once nothing reads it; what is left goes with the folder of the run.
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that no later result reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
