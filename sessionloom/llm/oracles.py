@@ -79,3 +79,26 @@ SELECT conv_id, seat AS participant, part, count(*) AS n_turns, count(*) FILTER
   coalesce(string_agg(CAST(spot AS BIGINT) || ':' || CAST(spot + length(body) - 1 AS BIGINT), ',' ORDER BY k) FILTER (own), '') AS mask
 FROM placed GROUP BY conv_id, part, seat
 """
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)
+),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT ways.b, root FROM reach JOIN ways ON ways.a = reach.id AND root < ways.b
+),
+comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN comp ON comp.id = d.doc_id
+"""

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, perspectives, quality_lines, secret_index
-from .oracles import PERSPECTIVES_SQL, QUALITY_SQL
+from . import bpe_counts, minhash_bayes, perspectives, quality_lines, secret_index
+from .oracles import NEAR_SQL, PERSPECTIVES_SQL, QUALITY_SQL
 from .registry import query, table, vocabulary
 
 TOKEN_LIMIT = 2048
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+@query("op2_minhash_bayes", NEAR_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes over 4-word shingles at a similarity of 0.8 or more."""
+    return minhash_bayes.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 @query("op3_bpe_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
