@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, minhash_bayes, perspectives, quality_lines, secret_index
+from . import bpe_counts, interpolation, minhash_bayes, perspectives, quality_lines, secret_index
 from .oracles import NEAR_SQL, PERSPECTIVES_SQL, QUALITY_SQL
 from .registry import query, table, vocabulary
 
@@ -13,6 +13,12 @@ TOKEN_LIMIT = 2048
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+@query("op1_interpolation")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document."""
+    return interpolation.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 @query("op2_minhash_bayes", NEAR_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes over 4-word shingles at a similarity of 0.8 or more."""
