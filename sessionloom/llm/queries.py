@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, interpolation, minhash_bayes, perspectives, quality_lines, secret_index
+from . import bpe_counts, chaining, interpolation, minhash_bayes, perspectives, quality_lines, secret_index
 from .oracles import NEAR_SQL, PERSPECTIVES_SQL, QUALITY_SQL
 from .registry import query, table, vocabulary
 
@@ -60,3 +60,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document, with the characters its passing lines hold."""
     return quality_lines.judged(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+@query("op10_chaining")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents repeat, each with its first holder."""
+    return chaining.passages(table(spark, sf_dir, "documents"))
