@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .text_bytes import distinct
+
 Q = 8
 WINDOW = 96
 EDITS = 0.1
@@ -30,7 +32,7 @@ BLOCK_BYTES = 4 << 20
 HELD = 1 << 20  # characters filtered at once
 GAP = np.uint32(0xFFFFFFFF)  # stands between documents
 MARKS = 22  # bits of the table that is asked first
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
 _fold: list[np.ndarray] = []
 
 
@@ -51,8 +53,8 @@ def qgram_keys(codes: np.ndarray) -> np.ndarray:
     """Keys of the q-grams of eight characters by start."""
     keys, factor = codes.astype(np.uint64), BASE
     for step in (1, 2, 4):
-        keys = keys[:-step] * factor + keys[step:] if len(keys) > step else keys[:0]
-        factor = factor * factor
+        keys = keys[:-step] * np.uint64(factor) + keys[step:] if len(keys) > step else keys[:0]
+        factor = factor * factor % (1 << 64)
     return keys ^ (keys >> np.uint64(29))
 
 
@@ -79,6 +81,9 @@ class Windows:
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.place, self.owner = keys[order], where[order], owner[order]
+        budget = np.array(self.budget, dtype=np.int64)
+        size = np.array([len(c) for c in self.codes], dtype=np.int64)
+        self.width, self.needed = np.maximum(2 * budget, 1), size - Q + 1 - budget * Q
         self.marks = np.zeros(1 << MARKS, dtype=bool)
         self.marks[self.keys >> np.uint64(64 - MARKS)] = True
 
@@ -91,26 +96,33 @@ class Windows:
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
         # All places of the benchmark with the q-gram.
         entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        window, diagonal = self.owner[entry], np.repeat(at, n) - self.place[entry]
-        budget = np.array(self.budget, dtype=np.int64)[window] if len(window) else np.zeros(0, np.int64)
-        width = np.maximum(2 * budget, 1)
-        cell = (diagonal + WINDOW) // width  # a band is two cells
-        for shift in (0, 1):
-            key = window * (1 << 40) + (cell - shift)
-            bands, count = np.unique(key, return_counts=True)
-            for band, hits in zip(bands.tolist(), count.tolist(), strict=True):
-                w, c = band >> 40, band & ((1 << 40) - 1)
-                c = c if c < 1 << 39 else c - (1 << 40)
-                k = self.budget[w]
-                if hits >= max(len(self.codes[w]) - Q + 1 - k * Q, 1):
-                    size = max(2 * k, 1)
-                    yield w, c * size - WINDOW, (c + 2) * size - WINDOW - 1
+        window, place = self.owner[entry], self.place[entry]
+        diagonal = np.repeat(at, n) - place + WINDOW  # never negative
+        width = self.width[window]
+        found = []
+        for shift in (0, 1):  # a band is two cells; a hit counts for both bands that have its cell
+            band = window * (1 << 40) + (diagonal // width + 1 - shift)
+            # A q-gram of the window counts once in a band, however often the text repeats it.
+            once = distinct(band * WINDOW + place) // WINDOW
+            edge = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1], [True]])) if len(once) else np.zeros(1, np.int64)
+            bands, count = once[edge[:-1]], np.diff(edge)
+            found.append(bands[count >= self.needed[bands >> 40]])
+        bands = distinct(np.concatenate(found))
+        owner, first = bands >> 40, (bands & ((1 << 40) - 1)) - 1
+        # Bands of a window that touch are verified as one strip.
+        new = np.ones(len(bands), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (first[1:] - first[:-1] > 2)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(bands)) - 1 if len(bands) else starts
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            w, size = int(owner[s]), int(self.width[owner[s]])
+            yield w, int(first[s]) * size - WINDOW, (int(first[e]) + 2) * size - WINDOW - 1
 
 
 def best_match(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best occurrence of the pattern in a strip of text, if within ``most`` edits."""
-    steps = np.arange(len(text) + 1)
-    rows = [np.zeros(len(text) + 1, dtype=np.int64)]
+    steps = np.arange(len(text) + 1, dtype=np.int32)
+    rows = [np.zeros(len(text) + 1, dtype=np.int32)]
     for i, code in enumerate(pattern, 1):
         above = rows[-1]
         row = above + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, chaining, interpolation, minhash_bayes, perspectives, qgram_bands, quality_lines, secret_index
+from . import bpe_counts, chaining, interpolation, minhash_bayes, mixture, perspectives, qgram_bands, quality_lines, secret_index
 from .oracles import NEAR_SQL, PERSPECTIVES_SQL, QUALITY_SQL
 from .registry import query, table, vocabulary
 
@@ -68,6 +68,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.judged(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+@query("op9_mixture")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixture.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 @query("op10_chaining")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that documents repeat, each with its first holder."""

@@ -112,3 +112,9 @@ def window_keys(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(1, width):
         out = mix(out * GOLD + words[k : k + n] + U(k))
     return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
