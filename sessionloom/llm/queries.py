@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, chaining, interpolation, minhash_bayes, mixture, perspectives, qgram_bands, quality_lines, secret_index
+from . import bpe_counts, chaining, interpolation, minhash_bayes, mixture, perspectives, qgram_bands, quality_lines, repair_codec, secret_index
 from .oracles import NEAR_SQL, PERSPECTIVES_SQL, QUALITY_SQL
 from .registry import query, table, vocabulary
 
@@ -39,6 +39,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mask", F.array_join(spans, ","))
 
 
+@query("op5_repair_codec")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and digests of the ids of every document, from the written shards."""
+    return repair_codec.encoded_digests(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
+
+
 @query("op6_qgram_bands")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, with edits."""
