@@ -230,3 +230,13 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of the kept documents, all columns; of rows with equal id and text one stays. Rows without an id stay."""
+    stay = near_duplicates(docs, width, percent, doc_id, text).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    packed = docs.select(F.struct(*names).alias("_doc"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_digest"))
+    known = packed.filter("_id IS NOT NULL").join(stay.hint("shuffle_hash"), F.col("_id") == F.col("_stay"), "left_semi")
+    known = known.dropDuplicates(["_id", "_digest"])
+    return known.unionByName(packed.filter("_id IS NULL")).select("_doc.*")

@@ -15,6 +15,7 @@ are (items with equal id are one item, rows of documents are judged one by one);
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,21 +176,43 @@ def contaminated(
 
     The span covers all windows of the item that were found, in code points, end exclusive; ``edits`` are those of the closest window.
     """
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = 1 + size // BLOCK_BYTES
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    id_type, item_type = rows.schema["doc_id"].dataType, items.schema["item"].dataType
+    id_type, item_type = rows.schema["doc_id"].dataType, benchmark.schema[item_id].dataType
     whole = T.LongType()
     out = T.StructType([T.StructField(n, t) for n, t in (("doc_id", id_type), ("item_id", item_type), ("start", whole), ("end", whole), ("n_windows", whole), ("edits", whole))])
-    result = None
+    parts = [rows.mapInArrow(searcher(sent, to_arrow_type(item_type), out.names), out) for sent in query_blocks(benchmark, item_id, item_text)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in whose text no item is found. Rows are judged in place, so ids do not matter."""
+    place = docs.columns.index(text)
+
+    def dropper(sent):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = Windows(sent.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[t for t, *_ in find(windows, batch.column(place).to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for sent in query_blocks(benchmark, item_id, item_text):
+        docs = docs.mapInArrow(dropper(sent), docs.schema)
+    return docs
+
+
+def query_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list:
+    """The items as broadcast lists of (id, text), each of about ``BLOCK_BYTES`` of text."""
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = 1 + size // BLOCK_BYTES
+    sent = []
     for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item", "text")
-        queries = [(r["item"], r["text"]) for r in own.toLocalIterator()]
-        sent = docs.sparkSession.sparkContext.broadcast(queries)
-        found = rows.mapInArrow(searcher(sent, to_arrow_type(item_type), out.names), out)
-        result = found if result is None else result.unionByName(found)
-    return result
+        own = items.filter(F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(blocks)) == block).orderBy("item", "text")
+        sent.append(benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in own.toLocalIterator()]))
+    return sent
 
 
 def searcher(sent, item_kind: pa.DataType, names: list[str]):

@@ -132,6 +132,8 @@ def judged(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         covered(F.col("_starts")).alias("n_repeat_words"),
         F.array_join("_passing", "\n").alias("clean_text"),
         (F.size("_passing") == F.col("_n_lines")).alias("_all"),
+        # A filter on the verdict stays above this column; pushed below, it would compute every measure again.
+        F.monotonically_increasing_id().alias("_spot"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     enough = F.col("clean_chars") >= KEEP_SHARE * F.col("word_chars")
@@ -140,7 +142,7 @@ def judged(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             "clean_chars", F.when(F.col("_all"), F.col("word_chars")).otherwise(word_chars(F.col("clean_text")))
         )
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & enough)
+        .withColumn("kept", ~F.col("base_failed") & enough & (F.col("_spot") >= 0))
         .select("_row.*", *MEASURES, "base_failed", "kept", "clean_chars", "clean_text")
     )
 
