@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -78,16 +79,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than cores dealt out to all cores; any other table as it is.
-
-    For costly row expressions over a small input. A large table has splits enough
-    and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -96,7 +87,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     the table once nothing reads it; what is left goes with the folder of the run.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.scratch_path = path
     return stored
@@ -108,3 +99,9 @@ def discard(*tables: DataFrame) -> None:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
