@@ -102,6 +102,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps; it does so when the driver collects its garbage."""
+    """Let Spark drop the shuffle files of finished steps; it does so when the driver collects its garbage.
+
+    Spark's listener threads keep the plan of the last query in reach until the next one, so an empty one runs first.
+    """
+    spark.sql("SELECT 1").collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
