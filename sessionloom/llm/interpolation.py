@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import discard, materialize, release
 from .text_bytes import mix, window_keys, word_keys
 
 FOLDS, TEST, DEV = 7, 2, 3
@@ -38,7 +38,7 @@ STEPS = 64  # bins of an octave
 SPAN = 48 * STEPS
 ROUNDS = 60
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-CHUNKS_A_PARTITION = 3
+CHUNKS_A_PARTITION = 2
 TOTALS = -1  # the chunk that takes the totals of the shards
 
 
@@ -267,15 +267,18 @@ def token_counts(docs: DataFrame, order: int, doc_id: str, text: str) -> DataFra
         fold_of(F.col(doc_id)).alias("fold"),
         F.col(text).cast("string").cast("binary").alias("text"),
     ).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(pieces)).cast("int"))
-    rows = rows.repartition(partitions, "chunk")
     asked = rows.groupBy("chunk").applyInArrow(requests(order, pieces), REQUEST)
-    found = asked.groupBy("shard").applyInArrow(answers, ANSWER).repartition(partitions, "chunk")
+    # The answers are stored, so that the texts' and requests' shuffle files are gone before the texts are dealt again.
+    found = materialize(asked.groupBy("shard").applyInArrow(answers, ANSWER), "answers")
+    release(docs.sparkSession)
     schema = T.StructType(
         [rows.schema["id"], rows.schema["fold"], *[T.StructField(n, t) for n, t in (("length", T.LongType()), ("fit", T.BinaryType()), ("whole", T.BinaryType()))]]
     )
     arrow = pa.schema([("id", to_arrow(rows.schema["id"].dataType)), ("fold", pa.int32()), ("length", pa.int64()), ("fit", pa.binary()), ("whole", pa.binary())])
     counted = rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(joined(order, arrow), schema)
-    return materialize(counted, "counted")
+    stored = materialize(counted, "counted")
+    discard(found)
+    return stored
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:
