@@ -35,6 +35,7 @@ from .text_bytes import distinct, slices
 
 SHARD_IDS = 1 << 19
 LEAST_COUNT = 8
+BIN_BITS, BIN_FACTOR = 19, np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
 
@@ -121,16 +122,26 @@ class Grammar:
         return self._ends
 
 
-def frequent_pairs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pairs to replace in this round, sorted, and the key of the pair at each place."""
+def frequent_pairs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pairs to replace in this round, sorted; the places where they occur; and which pair is at each place.
+
+    Pairs are counted by hash first. That bounds every count from above, so only places whose bound reaches the least count are sorted.
+    """
     keys = (symbols[:-1] << np.int64(32)) | symbols[1:]
-    ordered = np.sort(keys)
-    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
-    count = np.diff(edge)
-    most = int(count.max()) if len(count) else 0
-    if most < LEAST_COUNT:
-        return ordered[:0], keys
-    return ordered[edge[:-1][count >= max(LEAST_COUNT, most // 4)]], keys
+    bins = ((keys.view(np.uint64) * BIN_FACTOR) >> np.uint64(64 - BIN_BITS)).view(np.int64)
+    bound = np.bincount(bins)[bins]
+    most = int(bound.max())
+    while True:
+        least = max(LEAST_COUNT, most // 4)
+        at = np.flatnonzero(bound >= least)
+        pairs, which, count = np.unique(keys[at], return_inverse=True, return_counts=True)
+        top = int(count.max(initial=0))
+        if max(LEAST_COUNT, top // 4) == least:
+            break
+        most = top if top >= least else least - 1
+    chosen = count >= least
+    taken = chosen[which]
+    return pairs[chosen], at[taken], (np.cumsum(chosen) - 1)[which[taken]]
 
 
 def compressed(ids: np.ndarray) -> Grammar:
@@ -139,21 +150,19 @@ def compressed(ids: np.ndarray) -> Grammar:
     base = int(symbols.max()) + 1 if len(symbols) else 1
     rules, spans, size = [], [], 0
     while len(symbols) > 1:
-        chosen, keys = frequent_pairs(symbols)
+        chosen, at, which = frequent_pairs(symbols)
         if not len(chosen):
             break
-        place = np.searchsorted(chosen, keys)
-        hit = chosen[np.minimum(place, len(chosen) - 1)] == keys
         # Of places that follow each other, the first, third, .. are taken, so no two overlap.
-        at = np.flatnonzero(hit)
         new = np.concatenate([[True], np.diff(at) > 1])
         start = at[np.flatnonzero(new)][np.cumsum(new) - 1]
-        at = at[(at - start) % 2 == 0]
-        used = distinct(place[at])
+        taken = (at - start) % 2 == 0
+        at, which = at[taken], which[taken]
+        used = distinct(which)
         pairs = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], axis=1)
         known = np.concatenate(spans) if spans else np.zeros(0, dtype=np.int64)
         width = np.where(pairs < base, 1, known[np.maximum(pairs - base, 0)] if len(known) else 1)
-        symbols[at] = base + size + np.searchsorted(used, place[at])
+        symbols[at] = base + size + np.searchsorted(used, which)
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols = symbols[keep]
