@@ -28,7 +28,7 @@ def flatten_rules(rules: str | dict) -> list[RulePath]:
 
     The message form wrapped in ``GroupingRules`` is accepted too. A node that
     has both a field and a group name is read as a field node. A path asking two
-    values of one position can never hold and is left out.
+    values of one position can never hold and is left out, as is a leaf whose name is null.
     """
     tree = json.loads(rules) if isinstance(rules, str) else rules
     pending = [(tree.get("GroupingRules", tree), {})]
@@ -40,6 +40,6 @@ def flatten_rules(rules: str | dict) -> list[RulePath]:
             for entry in reversed(node["Table"]):
                 if conditions.get(position, entry["Key"]) == entry["Key"]:
                     pending.append((entry["Rule"], {**conditions, position: entry["Key"]}))
-        elif "GroupName" in node:
+        elif node.get("GroupName") is not None:
             paths.append(RulePath(len(paths), tuple(sorted(conditions.items())), node["GroupName"]))
     return paths

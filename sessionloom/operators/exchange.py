@@ -13,7 +13,7 @@ from ..functions.wire import fields
 from ..schemas import MANAGEMENT_LABELS, TOPIC_ALIVE, TOPIC_DECISION, TOPIC_INTERNAL, TOPIC_SUBSCRIBE, TOPIC_UPLOAD
 from .lookup import lookup_join
 
-SAMPLE_GRAIN = 1_000_000
+SAMPLE_GRAIN = 1 << 32  # all values of a draw
 
 
 def parse_subscriptions(df: DataFrame, value: str = "value") -> DataFrame:
@@ -74,7 +74,7 @@ def keyed_sample(df: DataFrame, fraction: float, key: str, seed: int = 42) -> Da
     """The rows whose draw falls under ``fraction``; the same rows on every run."""
     if fraction >= 1.0:
         return df
-    return df.filter(keyed_draw(F.col(key), SAMPLE_GRAIN, "sample", seed) < int(fraction * SAMPLE_GRAIN))
+    return df.filter(keyed_draw(F.col(key), SAMPLE_GRAIN, "sample", seed) < fraction * SAMPLE_GRAIN)
 
 
 def feature_counts(

@@ -91,7 +91,7 @@ def _counts(where: str) -> str:
     SELECT CAST(pos AS INTEGER) AS pos, feature, count(*) AS n, pos || ';' || feature || ';' || count(*) AS value FROM f GROUP BY pos, feature"""
 
 
-@query("feature_value_counts", _counts(f"WHERE {P.draw('event_id', 1_000_000, 'sample')} < 10000"))
+@query("feature_value_counts", _counts(f"WHERE {P.draw('event_id', 1 << 32, 'sample')} < 0.01 * 4294967296"))
 def feature_value_counts(spark, sf):
     return exchange.feature_counts(I.records(spark, sf).withColumnRenamed("update", "value"))
 

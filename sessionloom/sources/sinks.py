@@ -78,7 +78,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 def upsert_latest(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], version: int) -> None:
     """Merge the latest row per key into the table at ``path``; ``version`` is the batch id of a stream."""
-    LatestStore(df.sparkSession, path, keys).merge(latest_per_key(df, keys, order), version)
+    LatestStore(df.sparkSession, path, keys).merge(latest_per_key(df, keys, order), version, order=order)
 
 
 def write_series(df: DataFrame, path: str) -> None:

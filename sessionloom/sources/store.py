@@ -46,11 +46,15 @@ class LatestStore:
         return self.spark.read.parquet(self._folder(usable[-1])) if usable else None
 
     def merge(
-        self, rows: DataFrame, version: int, compact: Callable[[DataFrame], DataFrame] | None = None
+        self,
+        rows: DataFrame,
+        version: int,
+        compact: Callable[[DataFrame], DataFrame] | None = None,
+        order: Sequence[str] = (),
     ) -> None:
         """Write ``version``: ``rows``, unique in the keys, over the rows of the version before.
 
-        ``compact`` may shrink the merged table before it is written.
+        Of two rows of a key the one with the greater ``order`` stays, of equal ones the new one. ``compact`` may shrink the merged table before it is written.
         """
         old = self.read(before=version)
         columns = rows.columns
@@ -58,7 +62,7 @@ class LatestStore:
         if old is not None:
             ranked = rows.withColumn("_new", F.lit(1)).unionByName(old.withColumn("_new", F.lit(0)))
             kept = [c for c in columns if c not in self.keys]
-            newest = F.max_by(F.struct(*kept), "_new").alias("_row")
+            newest = F.max_by(F.struct(*kept), F.struct(*order, "_new")).alias("_row")
             table = ranked.groupBy(*self.keys).agg(newest).select(*self.keys, "_row.*").select(*columns)
         if compact is not None:
             table = compact(table).select(*columns)
