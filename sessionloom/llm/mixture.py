@@ -146,7 +146,9 @@ def draws(spark, sources: list[Source], slots: int, block: int, seed: int) -> Da
                     ["shard", "slot", "src", "block", "turn"],
                 )
 
-    return counts.select("shard", "number", "n", "first").mapInArrow(run, "shard long, slot long, src string, block long, turn long")
+    # The counts are few, the draws are not: shards keep their own tasks.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return counts.select("shard", "number", "n", "first").repartition(partitions, "shard").mapInArrow(run, "shard long, slot long, src string, block long, turn long")
 
 
 def planned(
@@ -176,7 +178,8 @@ def planned(
     if drawn is None:
         taken = pieces.select("spot", *[F.lit(0).cast("long").alias(n) for n in ("shard", "slot", "turn")], "block", "skip", "n").filter("false")
     else:
-        taken = pieces.join(drawn, ["src", "block"]).select("spot", "shard", "slot", "turn", "block", "skip", "n")
+        # Both sides grow with the input, so neither may be broadcast for its size after compression.
+        taken = pieces.join(drawn.hint("merge"), ["src", "block"]).select("spot", "shard", "slot", "turn", "block", "skip", "n")
     return placed, taken, sources
 
 
