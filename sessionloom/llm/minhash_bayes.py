@@ -3,9 +3,10 @@
 1. One pass gives each document its set of word shingles, a digest of it and a signature of ``BANDS * ROWS``
    minima. Documents with equal sets are one class, represented by the smallest id.
 2. Representatives that share a band key are candidates. A band is not expanded into all pairs: its members are compared with its
-   smallest member; those not yet joined to it, with a random member of each of their bands; and only then the members that still are in another
-   component than the smallest one, with every member of the band outside their component. So each pair of a
-   band ends in one component or has been compared itself.
+   smallest member; those not yet joined to it, with a random member of each of their bands. Members that still are in another
+   component than the smallest one (its *home*) are strays of that home; last, the strays of each home are compared with all of its
+   component and with each other, block by block inside tasks, which send on no more than one link for a stray and component. So each
+   pair of a band ends in one component or has been compared itself.
 3. A comparison reads the signatures in batches of ``BATCH``. After n minima with m equal, the posterior of the similarity under a
    uniform prior is Beta(m + 1, n - m + 1); a pair is dropped as soon as the chance that it reaches the
    threshold is under ``MISS``. What survives is confirmed on the full sets.
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..session import discard, materialize
 from .components import components
-from .text_bytes import mix, window_keys, word_keys
+from .text_bytes import distinct, mix, window_keys, word_keys
 
 ROWS, BANDS, BATCH, MISS = 4, 32, 16, 1e-6
 HASHES = ROWS * BANDS
@@ -40,6 +41,7 @@ _draw = np.random.default_rng(7)
 FACTORS = _draw.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _draw.integers(0, 2**63, HASHES, dtype=np.uint64)
 BLOCK = 1 << 14
+STRAYS, MEMBERS = 256, 1024  # rows of a block of either side
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
@@ -53,7 +55,7 @@ def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
             words, size = np.append(words, np.uint64(count)), count + 1
             yield window_keys(words, size)
         else:
-            yield np.unique(window_keys(words, width))
+            yield distinct(window_keys(words, width))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -171,6 +173,58 @@ def links_among(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
     return attach(left, sets, "shingles").mapInArrow(confirm, ends)
 
 
+def links_in_homes(strays: DataFrame, placed: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the strays of each home with its component and among each other."""
+    left = strays.select("home", "id", "root").distinct()
+    own = placed.select("id", "root").distinct().join(left.select(F.col("home").alias("root")).distinct(), "root", "left_semi")
+    right = own.select(F.col("root").alias("home"), "id", "root").unionByName(left)
+    n_left = left.groupBy("home").agg(F.ceil(F.count("*") / STRAYS).cast("int").alias("lefts"))
+    n_right = right.groupBy("home").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("rights"))
+    blocks = materialize(n_left.join(n_right, "home"), "blocks")
+
+    def dealt(side: DataFrame, own_part: str, other_part: str) -> DataFrame:
+        """Each row in the block of its id, once for every block of the other side."""
+        spread = side.join(blocks, "home").withColumn(own_part[:-1], F.pmod(F.xxhash64("id"), F.col(own_part)).cast("int"))
+        spread = spread.withColumn(other_part[:-1], F.explode(F.sequence(F.lit(0), F.col(other_part) - 1)))
+        full = spread.select("home", "left", "right", "id", "root").join(sigs, "id").join(sets, "id")
+        return full.select(*[F.col(name).alias(name) for name in full.columns])  # columns of their own for each side
+
+    kind = left.schema["id"].dataType
+    ends = T.StructType([T.StructField(e, kind) for e in "ab"])
+    one, two = (dealt(*args).groupBy("home", "left", "right") for args in ((left, "lefts", "rights"), (right, "rights", "lefts")))
+    found = one.cogroup(two).applyInArrow(compared(percent), ends)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def compared(percent: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = left.schema.field("id").type
+        pairs: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            ids, roots = right["id"].to_pylist(), right["root"].to_pylist()
+            other = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+            root = np.array([other[r] for r in roots])
+            sigs = np.frombuffer(b"".join(right["sig"].to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+            members = [np.frombuffer(s, dtype=np.uint64) for s in right["shingles"].to_pylist()]
+            size = np.array([len(m) for m in members])
+            for me, home, sig, blob in zip(*(left[c].to_pylist() for c in ("id", "root", "sig", "shingles")), strict=True):
+                own = np.frombuffer(blob, dtype=np.uint64)
+                near = np.flatnonzero((root != other.get(home, -1)) & (100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own))))
+                mine = np.broadcast_to(np.frombuffer(sig, dtype=np.uint32), (len(near), HASHES))
+                near = near[undecided(mine, sigs[near], percent / 100)]
+                if len(near):
+                    every = np.concatenate([members[i] for i in near])
+                    hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                    shared = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
+                    near = near[100 * shared >= percent * (len(own) + size[near] - shared)]
+                    # One link to a component joins all of it.
+                    _, first = np.unique(root[near], return_index=True)
+                    pairs += [(me, ids[i]) for i in near[first]]
+        return pa.table({e: pa.array([p[i] for p in pairs], kind) for i, e in enumerate("ab")})
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -206,12 +260,7 @@ def near_duplicates(
         strays = materialize(placed.join(homes, "band").filter("root != home"), "strays")
         if strays.isEmpty():
             break
-        if last:
-            others = placed.select("band", F.col("id").alias("other"), F.col("root").alias("other_root"))
-            tried = pairs_of(strays.join(others, "band").filter("root != other_root"), "other")
-        else:
-            tried = pairs_of(strays, "lead")
-        more = links_among(tried, sigs, sets, percent)
+        more = links_in_homes(strays, placed, sigs, sets, percent) if last else links_among(pairs_of(strays, "lead"), sigs, sets, percent)
         links = materialize(links.unionByName(more), "links")
         discard(placed, strays)
     # Members of a class follow its representative; ids with several texts tie their classes together.
