@@ -58,7 +58,9 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, in six bytes if they fit."""
+    """Sorted keys as differences, in six bytes if they fit; no keys are the width alone."""
+    if not len(keys):
+        return b"\x08"
     steps = np.diff(keys, prepend=np.uint64(0))
     fits = len(steps) < 2 or int(steps[1:].max()) < 1 << 48
     if not fits:
@@ -68,7 +70,7 @@ def packed_keys(keys: np.ndarray) -> bytes:
 
 def unpacked_keys(data: bytes) -> np.ndarray:
     if data[0] == 8:
-        return np.frombuffer(data, dtype="<u8", offset=1).astype(np.uint64)
+        return np.frombuffer(data[1:], dtype="<u8").astype(np.uint64)
     steps = np.zeros(1 + (len(data) - 9) // 6, dtype=np.uint64)
     steps[0] = np.frombuffer(data, dtype="<u8", count=1, offset=1)[0]
     rest = np.zeros((len(steps) - 1, 8), dtype=np.uint8)
