@@ -22,6 +22,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def spaced_words(text: Column) -> Column:
+    """The words, each with the white space before it; joined they are the text up to its last word."""
+    return F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + NOT_SPACE + "+"), F.lit(0))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.transform(F.array(value), body).getItem(0)

@@ -1,24 +1,24 @@
 """Mixing sources to target weights.
 
 The words of a source, its documents in order of id, are packed into blocks of ``block`` words. The mix is a row of slots, one block each,
-cut into shards. A shard gives each source the whole part of its expected number of slots and draws the rest from a multinomial
-over the fractions, so a shard differs from its expectation by the remainder only. The j-th slot of a source, over all shards, takes the block
-``permutation(j mod n)`` of its n blocks, with another keyed permutation for each pass, and no slot past two passes: no
-document gives more than twice its words. Blocks and slots are joined by (source, block).
+cut into shards. Every shard draws how many of its slots each source gets from a multinomial over the targets. Where the draws of all
+shards give a source more slots than its target holds, its last ones go to the sources that were given too few. The j-th slot of a
+source, over all shards, takes the block ``permutation(j mod n)`` of its n blocks, with another keyed permutation for each pass, and no slot
+past two passes: no document gives more than twice its words. Blocks and slots are joined by (source, block).
 
 Everything follows from the rows and the seed, so reruns agree. Places come from running totals in two steps (a range
 partition, then one sum per partition and source), so a source with a third of all rows is spread over many tasks.
-One row per source, of its size, goes through the driver.
+Two rows per source, of its size and of its drawn slots, go through the driver.
 
 Defined cases: null or empty texts have no word, take no room and are never taken; a null source is a source of its own, last in order; null ids come
-first. Rows that repeat whole are rows of their own. An empty table gives an empty result. Other columns are only carried by ``mixed_documents``.
+first. Rows that repeat whole are rows of their own; rows equal in id, source and text that differ elsewhere are mixed with the other
+columns of one of them, the same one in every run. An empty table gives an empty result. Other columns are only carried by ``mixed_documents``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lookup import lookup_join
 from ..session import materialize
-from .columns import whole, words
+from .columns import SPACE, let, spaced_words, whole, words
 from .text_bytes import mix
 
 BLOCK, SLOTS, SEED = 64, 4096, 11
@@ -99,52 +99,70 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(spark, sources: list[Source], slots: int, block: int, seed: int) -> DataFrame:
-    """``shard``, ``number`` (of the source), ``n``: slots of each source in each shard."""
-    total = sum(s.target for s in sources)
-    shares = np.array([s.target / total for s in sources])
-    all_slots = round(total / block)
-    shards = -(-all_slots // slots)
+def slot_targets(sources: list[Source], block: int) -> np.ndarray:
+    """Slots of each source over all shards: its target in blocks, rounded so that they sum to the rounded sum."""
+    wanted = np.array([s.target / block for s in sources])
+    slots = np.floor(wanted).astype(np.int64)
+    missing = round(float(wanted.sum())) - int(slots.sum())
+    slots[np.argsort(slots - wanted, kind="stable")[:missing]] += 1
+    return slots
+
+
+def shard_counts(spark, targets: np.ndarray, slots: int, seed: int) -> DataFrame:
+    """``shard``, ``number`` (of the source), ``n``: slots of each source in each shard, drawn from a multinomial."""
+    all_slots = int(targets.sum())
+    shares = targets / max(all_slots, 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for shard in batch.column(0).to_pylist():
-                room = min(slots, all_slots - shard * slots)
-                expected = room * shares
-                counts = np.floor(expected + 1e-9).astype(np.int64)
-                rest = expected - counts
-                rest = np.maximum(rest, 0)
-                if (extra := room - int(counts.sum())) > 0:
-                    chance = rest / rest.sum() if rest.sum() > 0 else shares
-                    counts += np.random.default_rng([seed, shard]).multinomial(extra, chance)
-                rows += [(shard, i, int(n)) for i, n in enumerate(counts) if n]
+            shards = batch.column(0).to_pylist()
+            drawn = [np.random.default_rng([seed, s]).multinomial(min(slots, all_slots - s * slots), shares) for s in shards]
+            rows = [(s, i, int(n)) for s, counts in zip(shards, drawn, strict=True) for i, n in enumerate(counts) if n]
             columns = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "number", "n"])
 
-    return spark.range(shards).mapInArrow(run, "shard long, number long, n long")
+    return spark.range(-(-all_slots // slots)).mapInArrow(run, "shard long, number long, n long")
+
+
+@dataclass(frozen=True)
+class Settled:
+    """Which source and which of its slots a drawn slot ends up as: those past a target fill, in order, what others lack."""
+
+    targets: np.ndarray
+    drawn: np.ndarray
+
+    def slots(self, number: int, first: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        target, own = int(self.targets[number]), np.arange(first, first + n)
+        if len(kept := own[own < target]):
+            yield number, kept
+        if len(over := own[own >= target]):
+            excess = np.maximum(self.drawn - self.targets, 0)
+            ends = np.cumsum(np.maximum(self.targets - self.drawn, 0))
+            rank = over - target + int(excess[:number].sum())
+            taker = np.searchsorted(ends, rank, side="right")
+            for k in np.unique(taker).tolist():
+                yield k, rank[taker == k] - (int(ends[k - 1]) if k else 0) + int(self.drawn[k])
 
 
 def draws(spark, sources: list[Source], slots: int, block: int, seed: int) -> DataFrame:
     """``shard``, ``slot``, ``src``, ``block``, ``turn`` (which pass) of every slot that takes a block."""
-    counts = running_totals(shard_counts(spark, sources, slots, block, seed), "number", ["shard"], "n", "first")
+    targets = slot_targets(sources, block)
+    counts = running_totals(shard_counts(spark, targets, slots, seed), "number", ["shard"], "n", "first")
+    sums = dict(counts.groupBy("number").agg(F.sum("n")).collect())
+    settled = Settled(targets, np.array([sums.get(i, 0) for i in range(len(sources))], dtype=np.int64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, number, n, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                source = sources[number]
-                j = np.arange(first, min(first + n, PASSES * source.blocks))
-                if not len(j):
-                    continue
-                turn, place = j // source.blocks, np.zeros(len(j), dtype=np.int64)
-                for t in np.unique(turn).tolist():
-                    own = turn == t
-                    key = int(mix(np.array([seed * 1000003 + number * PASSES + t], dtype=np.uint64))[0])
-                    place[own] = permuted(j[own] % source.blocks, source.blocks, key)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(j), pa.int64()), pa.array(j, pa.int64()), pa.array([source.key] * len(j)), pa.array(place), pa.array(turn, pa.int64())],
-                    ["shard", "slot", "src", "block", "turn"],
-                )
+                for taker, j in settled.slots(number, first, n):
+                    source = sources[taker]
+                    turn, place = j // source.blocks, np.zeros(len(j), dtype=np.int64)
+                    for t in np.unique(turn).tolist():
+                        own = turn == t
+                        key = int(mix(np.array([seed * 1000003 + taker * PASSES + t], dtype=np.uint64))[0])
+                        place[own] = permuted(j[own] % source.blocks, source.blocks, key)
+                    columns = [pa.array([shard] * len(j), pa.int64()), pa.array(j), pa.array([source.key] * len(j)), pa.array(place), pa.array(turn)]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "src", "block", "turn"])
 
     # The counts are few, the draws are not: shards keep their own tasks.
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -196,27 +214,35 @@ def mixed_sizes(docs: DataFrame, **names) -> DataFrame:
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix as documents, all columns kept: one row for each document and pass that takes words of it.
 
-    The text is the taken words, in order, one blank between them and a line end where blocks between were not taken. ``n_chars``,
-    where there is one, becomes the length of the new text.
+    The text is the taken stretches of the document, in order, with its own white space inside and a line end where words between were not taken.
+    ``n_chars``, where there is one, becomes the length of the new text.
     """
     placed, taken, _ = planned(docs, doc_id, text, source, **options)
     parts = taken.groupBy("spot", "turn").agg(F.sort_array(F.collect_list(F.struct("block", "skip", "n"))).alias("parts"))
-    keyed = parts.join(placed.select("spot", "id", "src", "digest"), "spot").select("id", "src", "digest", "turn", "parts")
+    keyed = parts.join(placed.select("spot", "id", "src", "digest"), "spot")
     names = docs.columns
+    identity = F.coalesce(F.concat(F.lit("i"), F.col("_id").cast("string")), F.lit("n"))
+    same = ["_key", "_src", "_digest"]
     packed = docs.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"), F.col(doc_id).alias("_id"), source_key(source).alias("_src"), F.xxhash64(whole(text)).alias("_digest")
-    )
-    # Rows that repeat whole share their places among them, so one of them is joined.
-    packed = packed.dropDuplicates(["_id", "_src", "_digest"])
-    same = reduce(Column.__and__, [packed["_id"].eqNullSafe(keyed["id"]), packed["_src"] == keyed["src"], packed["_digest"] == keyed["digest"]])
-    both = packed.join(keyed, same).select("_doc", "parts", words(F.coalesce(F.col("_doc")[text].cast("string"), F.lit(""))).alias("_words"))
-
-    def piece(part: Column, i: Column) -> Column:
-        after = (i > 0) & (F.get("parts", i - 1)["block"] + 1 == part["block"])
-        lead = F.when(i == 0, F.lit("")).when(after, F.lit(" ")).otherwise(F.lit("\n"))
-        return F.concat(lead, F.array_join(F.slice("_words", (part["skip"] + 1).cast("int"), part["n"].cast("int")), " "))
-
-    done = both.select("_doc", F.array_join(F.transform("parts", piece), "").alias("_text"))
+    ).withColumn("_key", identity)
+    # Rows with the same key share their places among them, so one of them, by its digest, is joined.
+    hashable = [F.col("_doc")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    packed = packed.groupBy(*same).agg(F.min_by("_doc", F.xxhash64(*hashable)).alias("_doc"))
+    keyed = keyed.select(F.col("id").alias("_id"), F.col("src").alias("_src"), F.col("digest").alias("_digest"), "turn", "parts").withColumn("_key", identity)
+    both = packed.join(keyed.drop("_id"), same).select("_doc", "parts")
+
+    def stretches(tokens: Column) -> Column:
+        def piece(part: Column, i: Column) -> Column:
+            body = F.array_join(F.slice(tokens, (part["skip"] + 1).cast("int"), part["n"].cast("int")), "")
+            after = (i > 0) & (F.get("parts", i - 1)["block"] + 1 == part["block"])
+            fresh = F.regexp_replace(body, "^" + SPACE, "")
+            return F.when(after, body).when(i == 0, fresh).otherwise(F.concat(F.lit("\n"), fresh))
+
+        return F.array_join(F.transform("parts", piece), "")
+
+    # Cut once for each text, however many pieces it gives.
+    done = both.select("_doc", let(spaced_words(F.coalesce(F.col("_doc")[text].cast("string"), F.lit(""))), stretches).alias("_text"))
     fresh = {text: F.col("_text")}
     if "n_chars" in names:
         fresh["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
