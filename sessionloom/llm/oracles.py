@@ -102,3 +102,113 @@ comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN comp ON comp.id = d.doc_id
 """
+
+#: Rows that take part, each component scaled to a whole number, under a number ``r`` of their own.
+VECTORS = """
+SELECT row_number() OVER () AS r, *, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+PRODUCT = "CAST(coalesce(list_sum(list_transform(range(1, 1 + least(len(a.q), len(b.q))), lambda i: a.q[i] * b.q[i])), 0) AS BIGINT)"
+
+TOP_SQL = f"""
+WITH v AS ({VECTORS}),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, {PRODUCT} AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM k WHERE n <= 5
+"""
+
+HARD_SQL = f"""
+WITH v AS (
+  SELECT * REPLACE (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label) FROM ({VECTORS}) WHERE label IS NOT NULL
+),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id, a.label = b.label AS own, {PRODUCT} AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS n FROM s WHERE own) WHERE n <= 5
+),
+w AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.o ORDER BY s.score DESC, s.vec_id NULLS LAST) AS n
+  FROM p JOIN s ON p.r = s.r AND NOT s.own AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM w WHERE n <= 5
+"""
+
+
+def _repair_sql() -> str:
+    """The cheapest repair by the states of the pattern, turn by turn: cost, audit and text of the best way to each state."""
+
+    def way(state: str, cost: str, letter: str, line: str | None) -> str:
+        text = f"{state}.t" if line is None else f"{state}.t || chr(10) || {line}"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {letter}, 't': {text}}}"
+
+    def inserted(state: str, role: str) -> str:
+        return way(state, "3", "'I'", f"'{role}:'")
+
+    def put(state: str, letter: str, role: str) -> str:
+        kept = f"x.i = '{letter}'"
+        return way(state, f"CASE WHEN {kept} THEN x.late ELSE 3 + x.late END", f"CASE WHEN {kept} THEN 'K' ELSE 'R' END", f"CASE WHEN {kept} THEN x.role ELSE '{role}' END || ':' || x.text")
+
+    def gone(state: str) -> str:
+        return way(state, "4", "'D'", None)
+
+    def let(value: str, name: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def never(value: str) -> str:
+        return f"{{'c': CAST({value} AS BIGINT), 'a': '', 't': ''}}"
+
+    asked = f"least(acc.s3, {inserted('acc.s0', 'user')}, {inserted('acc.s1', 'user')}, {inserted('acc.s2', 'user')})"
+    answered = f"least(acc.s2, {inserted('c3', 'assistant')})"
+    new = (
+        f"{{'s0': {gone('acc.s0')},"
+        f" 's1': CASE WHEN x.i = 's' THEN least({gone('acc.s1')}, {way('acc.s0', 'x.late', chr(39) + 'K' + chr(39), 'x.role || ' + repr(':') + ' || x.text')}) ELSE {gone('acc.s1')} END,"
+        f" 's2': least({gone('c2')}, {put('c3', 'a', 'assistant')}),"
+        f" 's3': least({gone('c3')}, {put('acc.s0', 'u', 'user')}, {put('acc.s1', 'u', 'user')}, {put('c2', 'u', 'user')})}}"
+    )
+    must = "{" + ", ".join(f"'s{k}': {gone(f'acc.s{k}')}" for k in range(4)) + "}"
+    step = f"CASE WHEN x.gone THEN {must} ELSE {let(asked, 'c3', let(answered, 'c2', new))} END"
+    begin = f"{{'s0': {never('0')}, 's1': {never('1000000000')}, 's2': {never('1000000000')}, 's3': {never('1000000000')}}}"
+    closed = f"least(f.s0, f.s2, {inserted('f.s3', 'assistant')}, {let(inserted('f.s1', 'user'), 'y', inserted('y', 'assistant'))})"
+    byte = "list_reduce(range(8), lambda d, k: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b))"
+    codes = "list_transform(string_split(key, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"""
+WITH k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+),
+h AS (SELECT *, xor(list_reduce({codes}, lambda c, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM k),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM h WHERE kind <> 0
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM d),
+e AS (
+  SELECT *, substr(role, 1, 1) AS i, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM o
+),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'gone': fault IN ('blank', 'duplicate'), 'late': CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'i': i, 'role': role, 'text': text}} ORDER BY n) AS turns
+  FROM e GROUP BY conv_id
+),
+f AS (SELECT *, list_reduce(turns, lambda acc, x: {step}, {begin}) AS f FROM c),
+r AS (SELECT *, {closed} AS best FROM f)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
+REPAIR_SQL = _repair_sql()

@@ -6,8 +6,9 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, chaining, interpolation, minhash_bayes, mixture, perspectives, qgram_bands, quality_lines, repair_codec, secret_index
-from .oracles import NEAR_SQL, PERSPECTIVES_SQL, QUALITY_SQL
+from . import bpe_counts, chaining, hard_negatives, interpolation, minhash_bayes, mixture, perspectives, qgram_bands, quality_lines, repair_codec, secret_index
+from . import topk_search, turn_repair
+from .oracles import HARD_SQL, NEAR_SQL, PERSPECTIVES_SQL, QUALITY_SQL, REPAIR_SQL, TOP_SQL
 from .registry import query, table, vocabulary
 
 TOKEN_LIMIT = 2048
@@ -87,6 +88,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_tiled_topk", TOP_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every fiftieth vector with all others."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, keep=5)
+
+
+@query("op12_hard_negatives", HARD_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the positives of every hundredth vector; every seventh label is moved on first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=5, low=80, high=100)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut off, repeated or given to the user by a checksum of their dialogue and number."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    kind = F.crc32(F.encode(key, "UTF-8")) % 20
+    text, role = F.coalesce("text", blank), F.coalesce("role", blank)
+    told = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return turns.filter(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), told.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+@query("op13_turn_repair", REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged dialogue; zeros where no turn is left."""
+    turns = table(spark, sf_dir, "conversations")
+    found = turn_repair.digests(turn_repair.edits(damaged(turns)))
+    every = turns.select("conv_id").distinct()
+    both = every.join(found.hint("merge"), F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return both.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents through all stages."""
