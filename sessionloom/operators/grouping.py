@@ -85,13 +85,24 @@ def match_groups(
     feature, whatever the rules say. A small rule set becomes one CASE expression,
     a large one joins.
     """
+    return match_paths(df, flatten_rules(rules), default, features, expression_paths)
+
+
+def match_paths(
+    df: DataFrame,
+    paths: Sequence[RulePath],
+    default: str = "asn",
+    features: str = "features",
+    expression_paths: int = EXPRESSION_PATHS,
+    tested: str | None = None,
+) -> DataFrame:
+    """``match_groups`` from flat paths, whose positions are those of the column ``tested`` (by default the features)."""
     asn = _field(features, DEFAULT_GROUP_FIELD)
     if default == "asn_only":
         return df.withColumn("group_id", asn)
     fallback = {"asn": asn, "null": F.lit(UNMATCHED_GROUP)}[default]
-    paths = flatten_rules(rules)
     match = _matched_by_expression if len(paths) <= expression_paths else _matched_by_joins
-    matched = match(df, paths, features)
+    matched = match(df, paths, tested or features)
     group = F.coalesce(F.nullif(F.col("_matched"), F.lit("")), fallback)
     return matched.withColumn("group_id", group).drop("_matched")
 
@@ -138,7 +149,17 @@ def route_updates(
 
     Groups of the own cluster, and groups without one, go to the internal topic.
     """
-    routed = cluster_of(df, assignment, self_cluster)
+    return routed_messages(cluster_of(df, assignment, self_cluster), self_cluster, labels, kept, list(df.columns))
+
+
+def routed_messages(
+    routed: DataFrame,
+    self_cluster: str,
+    labels: Sequence[str] = tuple(RECORD_LABELS),
+    kept: Sequence[str] = tuple(REDUCED_LABELS),
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """The two messages of records that know their ``cluster_id``; ``columns`` are those of the records that stay."""
     topic = F.when(F.col("cluster_id") == self_cluster, TOPIC_INTERNAL).otherwise(TOPIC_EXTERNAL)
     reduced = F.to_json(
         F.struct(
@@ -151,5 +172,5 @@ def route_updates(
         F.struct(F.lit(TOPIC_UPLOAD).alias("topic"), F.col("update").alias("value")),
         F.struct(topic.alias("topic"), reduced.alias("value")),
     )
-    others = [c for c in df.columns if c not in ("update", "group_id")]
+    others = [c for c in columns or routed.columns if c not in ("update", "group_id")]
     return routed.select(*others, "group_id", F.inline(messages))

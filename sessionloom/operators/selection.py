@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BANDIT_SCALE, RESET_DECISION, RESET_EVERY
@@ -84,3 +84,18 @@ def best_by_mean(scores: DataFrame, keys: Sequence[str] = ("group_id", "w_end"))
     )
     others = F.array_sort(F.array_except("_all", F.array("best")))
     return ranked.select(*keys, "best", others.alias("others"))
+
+
+def carry_forward(
+    decisions: DataFrame, first: Column, last: Column, slide: int, key: str = "group_id", at: str = "w_end", name: str = "tick"
+) -> DataFrame:
+    """Decisions with the ticks they are in force at: from their own until the group's next one, silent ticks included.
+
+    ``at`` and the ticks are epoch seconds; ticks lie ``slide`` apart, from ``first`` to ``last``. A group has at most one decision at a
+    tick, so the window over a group holds ticks, not reports.
+    """
+    following = F.lead(at).over(Window.partitionBy(key).orderBy(at))
+    begin = F.greatest(F.col(at), first)
+    until = F.least(F.coalesce(F.col("_next") - slide, last), last)
+    spans = decisions.withColumn("_next", following).filter(begin <= until)
+    return spans.withColumn(name, F.explode(F.sequence(begin, until, F.lit(slide).cast("bigint")))).drop("_next")

@@ -213,13 +213,14 @@ def weighted_sums(df: DataFrame, to_end: Column, gamma: float, seconds: int, gro
         F.sum(F.col("reward").cast("double") * weight).alias("s"),
         F.sum(weight).alias("n"),
         F.max(tick_of("ts", seconds)).alias("b"),
+        F.max("ts").alias("seen"),
     )
 
 
 def chunk_sums(
     df: DataFrame, gamma: float, seconds: int, keys: Sequence[str] = KEYS, chunk_cap: int = CHUNK_CAP
 ) -> DataFrame:
-    """Rewards and counts per key and chunk of ticks, decayed to the chunk's end; ``b`` is the newest tick.
+    """Rewards and counts per key and chunk of ticks, decayed to the chunk's end; ``b`` is the newest tick, ``seen`` the newest time.
 
     Later rows never change the weight of earlier ones, so this is a plain
     aggregation: partial sums are combined before the shuffle, and it holds for a
@@ -230,7 +231,7 @@ def chunk_sums(
     span = F.window("ts", f"{h * seconds} seconds").alias("span")
     sums = weighted_sums(df, end - tick_of("ts", seconds), gamma, seconds, [span, *keys])
     last = F.floor(F.unix_seconds("span.end") / seconds) - 1
-    return sums.select(*keys, last.cast("bigint").alias("end"), "s", "n", "b")
+    return sums.select(*keys, last.cast("bigint").alias("end"), "s", "n", "b", "seen")
 
 
 def chunk_state(
@@ -252,16 +253,21 @@ def chunk_state(
     )
 
 
-def fold_closed(chunks: DataFrame, gamma: float, open_ticks: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Chunk sums with all chunks that ended more than ``open_ticks`` before the newest tick made one per key.
+def with_slot(chunks: DataFrame) -> DataFrame:
+    """Open chunk sums as rows of a store: ``slot`` is their chunk, null in the folded row of a key."""
+    return chunks.withColumn("slot", F.col("end"))
 
-    For chunks that get no more rows. The state read from the result is the same,
-    and a key holds few rows however long its stream runs.
+
+def fold_closed(chunks: DataFrame, gamma: float, closed: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of a store with all chunks that ended at tick ``closed`` or before added to the folded row of their key, decayed to that tick.
+
+    ``closed`` never goes back from one call on a store to the next. Only for chunks whose sums can change no more: an open row is replaced by its new total, a folded one never is. The state
+    read from the result is the same, and a key holds few rows however long its stream runs.
     """
-    cutoff = chunks.select(F.max("b")).scalar() - F.lit(open_ticks + 1)
-    end = F.greatest(F.col("end"), cutoff)
-    weight = F.pow(F.lit(float(gamma)), (end - F.col("end")).cast("double"))
-    folded = chunks.groupBy(*keys, end.alias("_end")).agg(
+    done = F.col("slot").isNull() | (F.col("slot") <= closed)
+    end = F.when(done, F.lit(closed)).otherwise(F.col("end"))
+    weight = F.pow(F.lit(float(gamma)), (F.col("_end") - F.col("end")).cast("double"))
+    folded = chunks.withColumn("_end", end).groupBy(*keys, F.when(~done, F.col("slot")).alias("_slot"), "_end").agg(
         F.sum(F.col("s") * weight).alias("s"), F.sum(F.col("n") * weight).alias("n"), F.max("b").alias("b")
     )
-    return folded.select(*keys, F.col("_end").alias("end"), "s", "n", "b")
+    return folded.select(*keys, F.col("_slot").alias("slot"), F.col("_end").cast("bigint").alias("end"), "s", "n", "b")

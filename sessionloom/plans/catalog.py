@@ -28,6 +28,7 @@ def load() -> None:
     from . import (  # noqa: F401
         queries_exchange,
         queries_ingest,
+        queries_loops,
         queries_responses,
         queries_serving,
         queries_sources,

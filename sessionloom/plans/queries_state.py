@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import messages, selection, state, windows
+from ..operators import selection, state, windows
 from ..functions.ticks import tick_of
 from . import inputs as I
 from . import oracle_parts as P
 from .catalog import query
-from .decision_loop import ucb_decisions
+from .decision_loop import reset_messages, ucb_decisions
 
 DIGITS = 4
 WINDOW, SLIDE = I.DAY, 2 * I.HOUR
@@ -101,9 +101,7 @@ def discounted_reset(spark, sf):
 def reset_decisions(spark, sf):
     """Messages of the resetting form: picks, and the word for a free draw on reset ticks."""
     sums = state.bucket_sums(I.updates(spark, sf), I.DAY)
-    picks = selection.reset_picks(state.discounted_reset(sums, I.GAMMA), I.GAMMA, 4)
-    listed = F.when(F.col("k") % 15 == 0, F.get("picks", F.lit(0))).otherwise(F.concat(F.array_join("picks", ":"), F.lit(":")))
-    return messages.format_reset(picks.withColumn("decision", listed), "edge").select("b", "value")
+    return reset_messages(state.discounted_reset(sums, I.GAMMA), I.GAMMA, 4, "edge")
 
 
 WINDOWS = f"""

@@ -16,8 +16,6 @@ from .catalog import ORACLES, query
 from .decision_loop import ucb_decisions
 from .queries_state import DIGITS, RESET, SLIDE, WINDOW, WINDOWS
 
-ORIGIN_DAY = 19_723  # 2024-01-01, the first day of the test tables
-
 
 def _latest(spark, stream, keys):
     """Newest value per key of an update-mode aggregate, after all input."""
@@ -38,15 +36,15 @@ def stream_discounted(spark, sf):
 
 @query(
     "stream_reset",
-    f"""WITH {RESET.replace('min(day) AS lo', f'{ORIGIN_DAY} AS lo')} SELECT group_id, decision, k, b, round(s, {DIGITS}) AS s,
+    f"""WITH {RESET.replace('min(day) AS lo', f'{I.ORIGIN_DAY} AS lo')} SELECT group_id, decision, k, b, round(s, {DIGITS}) AS s,
         round(n, {DIGITS}) AS n, k % 15 = 0 AS reset FROM st WHERE b = (SELECT hi FROM o)""",
 )
 def stream_reset(spark, sf):
     updates = I.as_updates(I.events_stream(spark, sf))
     chunks = _latest(
-        spark, streaming.stream_reset(updates, I.GAMMA, I.DAY, ORIGIN_DAY), ["group_id", "decision", "epoch", "end"]
+        spark, streaming.stream_reset(updates, I.GAMMA, I.DAY, I.ORIGIN_DAY), ["group_id", "decision", "epoch", "end"]
     )
-    state = streaming.epoch_state(chunks, I.GAMMA, ORIGIN_DAY)
+    state = streaming.epoch_state(chunks, I.GAMMA, I.ORIGIN_DAY)
     return state.select(
         "group_id", "decision", "k", "b", F.round("s", DIGITS).alias("s"), F.round("n", DIGITS).alias("n"), "reset"
     )

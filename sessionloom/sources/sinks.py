@@ -49,22 +49,40 @@ def write_messages(
 
 
 def write_by_cluster(
-    df: DataFrame, clusters: Mapping[str, Mapping[str, str]], format: str = "kafka", mode: str = "append"
+    df: DataFrame,
+    clusters: Mapping[str, Mapping[str, str]],
+    format: str = "kafka",
+    batch: int | None = None,
+    unlisted: Mapping[str, str] | None = None,
 ) -> None:
     """Publish each row to the brokers of its ``cluster_id``; call it on a batch or in ``foreachBatch``.
 
-    ``clusters`` is the configuration: per cluster the writer's options (for files,
-    ``path``). The rows are kept while one filtered write per cluster goes over them.
+    ``clusters`` is the configuration: per cluster the writer's options (for files, ``path``). Rows of other clusters go where
+    ``unlisted`` says, with their ``cluster_id``; without it they are an error, raised before anything is sent. The rows are kept while one
+    filtered write per cluster goes over them. With the number of a ``batch`` files go to a folder of that batch in each topic, which a replay
+    writes anew instead of appending to it. Brokers get a replayed batch twice.
     """
     rows = df.select("cluster_id", "topic", "value").persist()
+    known = F.col("cluster_id").isin(list(clusters))
+
+    def send(part: DataFrame, options: Mapping[str, str]) -> None:
+        if format == "kafka":
+            part.write.format(format).options(**options).save()
+        elif batch is None:
+            part.write.format(format).options(**options).mode("append").partitionBy("topic").save()
+        else:
+            writer = part.withColumn("batch", F.lit(batch)).write.format(format).options(**options)
+            writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("topic", "batch").save()
+
     try:
+        others = rows.filter(~F.coalesce(known, F.lit(False)))
+        if unlisted is None and (stray := others.select("cluster_id").first()) is not None:
+            raise ValueError(f"no brokers for cluster {stray['cluster_id']!r}; name an output for unlisted clusters")
         for cluster, options in clusters.items():
-            part = rows.filter(F.col("cluster_id") == cluster).select("topic", "value")
-            writer = part.write.format(format).options(**options)
-            if format == "kafka":
-                writer.save()
-            else:
-                writer.mode(mode).partitionBy("topic").save()
+            send(rows.filter(F.col("cluster_id") == cluster).select("topic", "value"), options)
+        if unlisted is not None:
+            named = F.to_json(F.struct("cluster_id", "value"))
+            send(others.select("topic", named.alias("value")), unlisted)
     finally:
         rows.unpersist()
 

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import SETTINGS
 from ..sources.store import LatestStore
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def each_batch(
     df: DataFrame,
@@ -17,14 +20,23 @@ def each_batch(
     mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Hand every micro-batch to ``write``. The default trigger is the two-second tick."""
-    return (
-        df.writeStream.foreachBatch(write)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "2 seconds"}))
-        .start()
-    )
+    """Hand every micro-batch to ``write``. The default trigger is the two-second tick.
+
+    The stream keeps its state in RocksDB, as timers need it; the setting of the session is left as it was.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, SETTINGS[STORE])
+    try:
+        return (
+            df.writeStream.foreachBatch(write)
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "2 seconds"}))
+            .start()
+        )
+    finally:
+        conf.unset(STORE) if before is None else conf.set(STORE, before)
 
 
 def run_available(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.selection import best_by_mean
 from ..operators.state import KEYS
 from ..operators.windows import panes_per_window
 
@@ -14,11 +15,26 @@ from ..operators.windows import panes_per_window
 def stream_window_scores(
     df: DataFrame, length: int, slide: int, delay: str = "10 seconds", keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Sum and count per key and window, for append mode: a window comes out once it is closed.
+    """Sum and count per key and window, for append mode: a window comes out once it is closed."""
+    scores = _closed_windows(df, length, slide, delay, keys)
+    return scores.select(*keys, F.col("span.end").alias("w_end"), "s", "n")
 
-    Two chained aggregations: raw rows to panes of one slide, closed panes to the
-    windows that hold them.
+
+def stream_best(df: DataFrame, length: int, slide: int, delay: str = "10 seconds", digits: int | None = None) -> DataFrame:
+    """The decision with the best mean per group and closed window, and the sorted others, for append mode.
+
+    A third aggregation on top of the two of the windows. ``digits`` rounds a window's sum
+    first, where the order of additions must not show.
     """
+    scores = _closed_windows(df, length, slide, delay, KEYS)
+    if digits is not None:
+        scores = scores.withColumn("s", F.round("s", digits))
+    best = best_by_mean(scores, ("group_id", "span"))
+    return best.select("group_id", F.col("span.end").alias("w_end"), "best", "others")
+
+
+def _closed_windows(df: DataFrame, length: int, slide: int, delay: str, keys: Sequence[str]) -> DataFrame:
+    """Two chained aggregations: raw rows to panes of one slide, closed panes to the windows that hold them."""
     panes_per_window(length, slide)
     panes = (
         df.withWatermark("ts", delay)
@@ -26,8 +42,4 @@ def stream_window_scores(
         .agg(F.sum("reward").cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
     )
     windows = F.window(F.window_time("pane"), f"{length} seconds", f"{slide} seconds").alias("span")
-    return (
-        panes.groupBy(windows, *keys)
-        .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        .select(*keys, F.col("span.end").alias("w_end"), "s", "n")
-    )
+    return panes.groupBy(windows, *keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))

@@ -180,13 +180,14 @@ def test_decision_stream_ends_with_the_batch_picks(spark, sf, split_events):
 
 @pytest.mark.parametrize("gamma", [0.0, 0.9, 1.0])
 def test_folded_chunks_give_the_same_state(spark, sf, gamma):
-    chunks = state.chunk_sums(inputs.updates(spark, sf), gamma, inputs.DAY, chunk_cap=2)
-    folded = state.fold_closed(chunks, gamma, 3)
-    assert folded.count() < chunks.count()
-    assert folded.groupBy("group_id", "decision", "end").count().filter("count > 1").count() == 0
-    again = state.fold_closed(folded, gamma, 1)
+    chunks = state.with_slot(state.chunk_sums(inputs.updates(spark, sf), gamma, inputs.DAY, chunk_cap=2).drop("seen"))
+    newest = chunks.agg(F.max("end")).first()[0]
+    folded = state.fold_closed(chunks, gamma, newest - 4)
+    again = state.fold_closed(folded, gamma, newest - 2)
     expected = as_dict(state.chunk_state(chunks, gamma), "group_id", "decision")
-    for table in (folded, again):
+    for table, closed in ((folded, newest - 4), (again, newest - 2)):
+        assert table.groupBy("group_id", "decision", "slot").count().filter("count > 1").count() == 0
+        assert table.filter("slot IS NOT NULL").agg(F.min("slot")).first()[0] > closed
         assert_close(as_dict(state.chunk_state(table, gamma), "group_id", "decision"), expected)
 
 
@@ -204,27 +205,61 @@ def test_decision_stream_with_a_delay_keeps_little_state(spark, sf):
     query.awaitTermination()
     batch = ucb_decisions(inputs.messages(spark, sf), inputs.GAMMA, 5, inputs.DAY)
     assert published[max(published)] == sorted(f"{r.group_id};{':'.join(r.picks)}:;From: edge" for r in batch.collect())
-    stored = LatestStore(spark, root, ["group_id", "decision", "end"]).read()
+    stored = LatestStore(spark, root, ["group_id", "decision", "slot"]).read()
     assert stored.groupBy("group_id", "decision").count().agg(F.max("count")).first()[0] <= 5
+    assert stored.filter("slot IS NULL").groupBy("group_id", "decision").count().agg(F.max("count")).first()[0] == 1
 
 
 def test_store_replays_and_prunes(spark):
-    store = LatestStore(spark, fresh_path(spark, "store"), ["k"], keep=2)
+    path = fresh_path(spark, "store")
+    store = LatestStore(spark, path, ["k"], keep=2, buckets=4)
 
     def rows(*pairs):
         return spark.createDataFrame(list(pairs), "k string, v int")
 
-    assert store.read() is None
-    store.merge(rows(("a", 1), ("b", 1)), 0)
+    def content(**options):
+        return {r.k: r.v for r in store.read(**options).collect()}
+
+    assert store.read() is None and store.note() == {}
+    store.merge(rows(("a", 1), ("b", 1)), 0, note={"t": 0})
     store.merge(rows(("a", 2)), 1)
-    store.merge(rows(("a", 3)), 1)
-    assert {r.k: r.v for r in store.read().collect()} == {"a": 3, "b": 1}
-    for version in range(2, 6):
-        store.merge(rows(("c", version)), version)
-    assert {r.k: r.v for r in store.read().collect()} == {"a": 3, "b": 1, "c": 5}
-    assert store.versions() == [3, 4, 5]
-    store.merge(rows(("c", None)), 6)
-    assert {r.k: r.v for r in store.read().collect()} == {"a": 3, "b": 1, "c": None}
+    store.merge(rows(("a", 3)), 1, note={"t": 1})
+    assert content() == {"a": 3, "b": 1} and content(before=1) == {"a": 1, "b": 1}
+    assert store.note() == {"t": 1} and store.note(before=1) == {"t": 0}
+    for version in range(2, 8):
+        store.merge(rows(("a", version)), version)
+    store.merge(rows(), 8)
+    assert content() == {"a": 7, "b": 1} and content(before=7) == {"a": 6, "b": 1}
+    # Of the versions before the kept ones only what still holds is left: the bucket of b.
+    assert store.versions()[-3:] == [6, 7, 8] and len(store.versions()) <= 5
+    store.merge(rows(("b", None)), 9)
+    assert content() == {"a": 7, "b": None}
+    # A write that was not committed is not seen.
+    rows(("a", 99)).write.parquet(f"{path}/version={10:012d}/bucket=0")
+    assert content() == {"a": 7, "b": None}
+
+
+def test_a_batch_writes_its_buckets_only(spark):
+    store = LatestStore(spark, fresh_path(spark, "store"), ["k"], buckets=32)
+    store.merge(spark.range(4_000).select(F.col("id").alias("k"), F.lit(0).alias("v")), 0)
+    store.merge(spark.range(2).select(F.col("id").alias("k"), F.lit(1).alias("v")), 1)
+    assert len(store._layout()[0]) == 32 and len(store._layout()[1]) <= 2
+    got = store.read()
+    assert got.count() == 4_000 and got.agg(F.sum("v")).first()[0] == 2
+
+
+def test_a_store_refuses_another_stream(spark, sf, split_events):
+    root = fresh_path(spark, "state")
+    messages = inputs.as_messages(stream_of(spark, f"{split_events}/*", 100))
+
+    def run(mark):
+        decision_stream(messages, root, mark, lambda df, i: None, 0.9, 3, inputs.DAY, trigger={"availableNow": True}).awaitTermination()
+
+    mark = fresh_path(spark, "mark")
+    run(mark)
+    run(mark)
+    with pytest.raises(Exception, match="fresh checkpoint"):
+        run(fresh_path(spark, "mark"))
 
 
 def test_update_log_moves_finished_files(spark, tmp_path):
