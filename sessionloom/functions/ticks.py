@@ -27,13 +27,14 @@ RUN = 1 << 16
 def number_line(span: DataFrame, low: str, high: str, name: str) -> DataFrame:
     """One row for each whole number from ``low`` to ``high``, in ``name``.
 
-    Made run by run, so no array is longer than a run.
+    Runs of numbers are dealt out to the tasks, which write them out: no array is longer than a run, and a long line is made by many tasks.
     """
     runs = span.filter(F.col(low) <= F.col(high)).withColumn(
         "_run", F.explode(F.sequence(F.floor(F.col(low) / RUN), F.floor(F.col(high) / RUN)))
     )
+    dealt = runs.repartition(int(span.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_run")
     first, last = F.greatest(F.col(low), F.col("_run") * RUN), F.least(F.col(high), F.col("_run") * RUN + RUN - 1)
-    return runs.select(F.explode(F.sequence(first, last)).alias(name))
+    return dealt.select(F.explode(F.sequence(first, last)).alias(name))
 
 
 def tick_start(tick: Column | str, seconds: int) -> Column:

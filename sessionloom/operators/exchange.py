@@ -11,6 +11,7 @@ from ..functions.draws import keyed_draw
 from ..functions.ticks import number_line, tick_of
 from ..functions.wire import fields
 from ..schemas import MANAGEMENT_LABELS, TOPIC_ALIVE, TOPIC_DECISION, TOPIC_INTERNAL, TOPIC_SUBSCRIBE, TOPIC_UPLOAD
+from ..session import materialize
 from .lookup import lookup_join
 
 SAMPLE_GRAIN = 1 << 32  # all values of a draw
@@ -105,7 +106,8 @@ def upload_copy(df: DataFrame, value: str = "value") -> DataFrame:
 def heartbeat(df: DataFrame, clusters: Sequence[str], seconds: int) -> DataFrame:
     """One row per configured cluster and tick, with the records seen; empty ticks are alive too."""
     seen = df.groupBy("cluster_id", tick_of("ts", seconds).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    span = df.agg(F.min(tick_of("ts", seconds)).alias("lo"), F.max(tick_of("ts", seconds)).alias("hi"))
+    seen = materialize(seen, "seen")
+    span = seen.agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
     ticks = number_line(span, "lo", "hi", "b")
     spine = ticks.withColumn("cluster_id", F.explode(F.array(*[F.lit(c) for c in clusters])))
     return spine.join(seen, ["cluster_id", "b"], "left").select(

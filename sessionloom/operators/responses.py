@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ticks import number_line
+from ..session import materialize
 from .ordinal import previous_value, with_ordinal
 
 QUANTILE_ACCURACY = 10_000
@@ -64,8 +65,11 @@ def response_by(rows: DataFrame, time: str = "sent", start: Column | None = None
     seen = staged.groupBy(second.alias("second")).agg(
         F.count(F.lit(1)).alias("succeeded"),
         F.round(F.sum("rt") / F.count(F.lit(1)), 3).alias("mean_rt"),
+        F.max("_at").alias("_last"),
     )
-    span = staged.agg(F.lit(0).cast("bigint").alias("_lo"), F.ceil(F.max("_at")).cast("bigint").alias("_hi"))
+    # One row a second, read for its span and for its values.
+    seen = materialize(seen, "seconds")
+    span = seen.agg(F.lit(0).cast("bigint").alias("_lo"), F.ceil(F.max("_last")).cast("bigint").alias("_hi"))
     spine = number_line(span, "_lo", "_hi", "second")
     unit = 1000 if millis else 1
     return spine.join(seen, "second", "left").select(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import with_ordinal
+from ..session import materialize
+from .ordinal import numbered_rows, placed_rows, with_ordinal
 
 
 def _means(rows: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
@@ -55,6 +56,32 @@ def block_means(
     return _means(placed.withColumn("block", block), [*within, "block"], value, n)
 
 
+def failover_blocks(
+    df: DataFrame, frontends: int = 2, value: str = "cost", order_by: Sequence[str] = ("line_no",), n: int = 100
+) -> DataFrame:
+    """Block means of the sessions of front end 0 and of all others, sessions dealt to front ends in turn.
+
+    The sessions are priced once, then stored in order; their numbers in the trace and in their part both come from that copy.
+    """
+    placed = placed_rows(materialize(df.select(*order_by, value), "sessions"), order_by)
+    dealt = numbered_rows(placed, "ordinal", dense=True).withColumn("frontend", (F.col("ordinal") - 1) % frontends)
+    parts = numbered_rows(dealt.withColumn("part", frontend_part()), "i", ["part"])
+    block = F.floor((F.col("i") - 1) / n).cast("bigint")
+    return _means(parts.withColumn("block", block), ["part", "block"], value, n)
+
+
+def paired_blocks(means: DataFrame) -> DataFrame:
+    """The two series of :func:`failover_blocks` side by side by block, with the gap between their lengths, in one pass over them."""
+    both = means.groupBy("block").agg(
+        F.max(F.when(F.col("part") == 0, F.col("mean"))).alias("first"), F.max(F.when(F.col("part") == 1, F.col("mean"))).alias("second")
+    )
+    # Blocks come without holes, so those of one series only are the gap.
+    single = F.col("first").isNull() | F.col("second").isNull()
+    stored = materialize(both, "pairs")
+    gap = stored.select(F.count_if(single)).scalar()
+    return stored.filter(~single).withColumn("gap", gap)
+
+
 def frontend_part(frontend: str = "frontend"):
     """Front end 0 is one series, all others together are the second."""
     return F.when(F.col(frontend) == 0, 0).otherwise(1)

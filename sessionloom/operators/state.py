@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ticks import tick_of
 from ..schemas import RESET_EVERY
+from ..session import materialize
 
 KEYS = ("group_id", "decision")
 SCALE_RANGE = 230.0  # in-chunk weights stay within exp(+-230), about 1e+-100
@@ -37,9 +38,11 @@ def discounted_latest(
 
     ``rows`` may be tick sums or single rewards (``s`` the reward, ``n`` 1): one
     weighted aggregation either way, so the shuffle carries one row per key and
-    task.
+    task. Where the last tick has to be found first, rows are summed to chunks of ticks and read once all the same.
     """
-    last = _as_column(rows, at, F.max)
+    if at is None:
+        return chunk_state(materialize(tick_chunks(rows, gamma, keys), "chunks"), gamma, keys=keys)
+    last = at if isinstance(at, Column) else F.lit(at).cast("bigint")
     weight = F.pow(F.lit(float(gamma)), (F.col("_at") - F.col("b")).cast("double"))
     return (
         rows.withColumn("_at", last)
@@ -53,6 +56,16 @@ def discounted_latest(
     )
 
 
+def tick_chunks(rows: DataFrame, gamma: float, keys: Sequence[str] = KEYS, cap: int = CHUNK_CAP) -> DataFrame:
+    """Rows of ``b, s, n`` summed per key and chunk of ticks, decayed to the chunk's ``end``; ``b`` is the newest tick."""
+    h = chunk_ticks(gamma, cap)
+    end = F.floor(F.col("b") / h) * h + (h - 1)
+    weight = F.pow(F.lit(float(gamma)), (end - F.col("b")).cast("double"))
+    return rows.groupBy(*keys, end.cast("bigint").alias("end")).agg(
+        F.sum(F.col("s") * weight).alias("s"), F.sum(F.col("n") * weight).alias("n"), F.max("b").alias("b")
+    )
+
+
 def chunk_ticks(gamma: float, cap: int = CHUNK_CAP) -> int:
     """Ticks per chunk so that ``gamma ** -ticks`` is far from overflow."""
     if gamma <= 0.0:
@@ -62,6 +75,62 @@ def chunk_ticks(gamma: float, cap: int = CHUNK_CAP) -> int:
     return max(1, min(cap, int(SCALE_RANGE / -math.log(gamma))))
 
 
+def block_copies(totals: DataFrame, keys: Sequence[str], q: float, size: int) -> DataFrame:
+    """Totals of blocks (``_k``, decayed to their last chunk) as what each later block starts with, in ``_es`` and ``_en``.
+
+    ``q`` is the decay of a chunk, ``size`` the chunks of a block. A block is copied to the blocks where it still counts: a handful if a
+    block decays by the full range of weights, all later ones only if nothing decays, when blocks are as long as can be.
+    """
+    last = F.col("_last")
+    counts = 1 if q <= 0.0 else int(DECAY_RANGE / (size * -math.log(q))) + 2 if q < 1.0 else None
+    reach = last if counts is None else F.least(last, F.col("_k") + F.lit(counts))
+    pull = F.pow(F.lit(q), ((F.col("_to") - F.col("_k") - 1) * size).cast("double"))
+    return (
+        totals.withColumn("_last", F.max("_k").over(Window.partitionBy(*keys)))
+        .filter(F.col("_k") < last)
+        .withColumn("_to", F.explode(F.sequence(F.col("_k") + 1, reach)))
+        .groupBy(*keys, F.col("_to").alias("_k"))
+        .agg(F.sum(F.col("_es") * pull).alias("_es"), F.sum(F.col("_en") * pull).alias("_en"))
+    )
+
+
+def carried_chunks(
+    ends: DataFrame, spine: DataFrame, keys: Sequence[str], gamma: float, h: int, cap: int = CHUNK_CAP
+) -> DataFrame:
+    """What each chunk of ``spine`` (keys, ``_c``, ``_b0``) starts with: the decayed totals of all earlier chunks, in ``_cs`` and ``_cn``.
+
+    A prefix scan in two levels: running sums over the chunks of a block, and block totals carried to later blocks. Its rows
+    are linear in the chunks.
+    """
+    if gamma <= 0.0:
+        return spine.select(*keys, "_c", "_b0", F.lit(0.0).alias("_cs"), F.lit(0.0).alias("_cn"))
+    q = float(gamma) ** h
+    size = chunk_ticks(q, cap)
+    chunks = spine.select(*keys, "_c", "_b0", F.lit(0.0).alias("_es"), F.lit(0.0).alias("_en"))
+    totals = ends.select(*keys, "_c", F.lit(None).cast("bigint").alias("_b0"), "_es", "_en")
+    rows = (
+        chunks.unionByName(totals)
+        .groupBy(*keys, "_c")
+        .agg(F.max("_b0").alias("_b0"), F.sum("_es").alias("_es"), F.sum("_en").alias("_en"))
+        .withColumn("_k", F.floor(F.col("_c") / size).cast("bigint"))
+    )
+    to_end = F.pow(F.lit(q), (F.col("_k") * size + (size - 1) - F.col("_c")).cast("double"))
+    blocks = rows.groupBy(*keys, "_k").agg(F.sum(F.col("_es") * to_end).alias("_es"), F.sum(F.col("_en") * to_end).alias("_en"))
+    # What a block starts with stands as one more chunk before its first one.
+    starts = block_copies(blocks, keys, q, size).select(
+        *keys, (F.col("_k") * size - 1).alias("_c"), F.lit(None).cast("bigint").alias("_b0"), "_es", "_en", "_k"
+    )
+    place = (F.col("_c") - F.col("_k") * size).cast("double")
+    up, down = (F.lit(1.0), F.lit(1.0)) if size == 1 else (F.pow(F.lit(q), -place), F.pow(F.lit(q), place - 1))
+    before = Window.partitionBy(*keys, "_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(name: str) -> Column:
+        return F.coalesce(F.sum(F.col(name) * up).over(before), F.lit(0.0)) * down
+
+    scanned = rows.unionByName(starts).select(*keys, "_c", "_b0", carried("_es").alias("_cs"), carried("_en").alias("_cn"))
+    return scanned.filter("_b0 IS NOT NULL")
+
+
 def _decayed_series(
     sums: DataFrame, keys: Sequence[str], gamma: float, last: Column, since: Column | None, cap: int
 ) -> DataFrame:
@@ -81,38 +150,13 @@ def _decayed_series(
         F.sum(F.col("n") * to_end).alias("_en"),
         F.min("b").alias("_b0"),
     )
-    last_chunk = F.floor(last / h)
     spine = (
         ends.groupBy(*keys)
         .agg(F.min("_b0").alias("_b0"))
-        .withColumn("_c", F.explode(F.sequence(F.floor(F.col("_b0") / h), last_chunk)))
-        .select(*keys, "_c", "_b0", F.lit(0.0).alias("_cs"), F.lit(0.0).alias("_cn"))
-    )
-    if gamma <= 0.0:
-        reach = F.lit(0)
-    elif gamma >= 1.0:
-        reach = last_chunk - F.col("_c")
-    else:
-        # Beyond this many chunks a carried total underflows to zero.
-        reach = F.lit(int(DECAY_RANGE / (h * -math.log(gamma))) + 2)
-    to_chunk = F.least(F.col("_c") + reach, last_chunk)
-    pull = F.pow(g, ((F.col("_to") - F.col("_c") - 1) * h).cast("double"))
-    carried = (
-        ends.filter(to_chunk > F.col("_c"))
-        .withColumn("_to", F.explode(F.sequence(F.col("_c") + 1, to_chunk)))
-        .select(
-            *keys,
-            F.col("_to").alias("_c"),
-            F.lit(None).cast("bigint").alias("_b0"),
-            (F.col("_es") * pull).alias("_cs"),
-            (F.col("_en") * pull).alias("_cn"),
-        )
-    )
-    chunks = (
-        spine.unionByName(carried)
-        .groupBy(*keys, "_c")
-        .agg(F.max("_b0").alias("_b0"), F.sum("_cs").alias("_cs"), F.sum("_cn").alias("_cn"))
+        .withColumn("_c", F.explode(F.sequence(F.floor(F.col("_b0") / h), F.floor(last / h))))
+        .select(*keys, "_c", "_b0")
     )
+    chunks = carried_chunks(ends, spine, keys, gamma, h)
     begin = F.greatest(F.col("_b0"), F.col("_c") * h)
     if since is not None:
         begin = F.greatest(begin, since)
@@ -166,8 +210,10 @@ def discounted_history(
 ) -> DataFrame:
     """Decayed state of every known key at every tick, from its first tick to ``at``.
 
-    ``since`` keeps only ticks from there on; earlier sums still count.
+    ``since`` keeps only ticks from there on; earlier sums still count. The tick sums are stored, as several steps read them; what they are
+    summed from is read once.
     """
+    sums = materialize(sums.select(*keys, "b", "s", "n"), "sums")
     last = _as_column(sums, at, F.max)
     floor = None if since is None else F.lit(since).cast("bigint")
     return _decayed_series(sums, keys, gamma, last, floor, chunk_cap)
@@ -187,6 +233,7 @@ def discounted_reset(
     Tick ``k`` counts from 1 at ``origin`` (default: the first tick). The last tick
     of an epoch has ``reset`` true and still carries the state of its epoch.
     """
+    sums = materialize(sums.select(*keys, "b", "s", "n"), "sums")
     start = _as_column(sums, origin, F.min)
     last = _as_column(sums, at, F.max)
     staged = sums.withColumn("_o", start).filter(F.col("b") >= F.col("_o"))

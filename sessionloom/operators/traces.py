@@ -7,31 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions.wire import fields
 from ..schemas import DECISION_MARK, FEATURE_LABELS, FIELD_SEPARATOR, LOAD_MARK
-from .ordinal import with_ordinal
+from ..session import materialize
+from .lookup import lookup_join
+from .ordinal import PLACE, numbered_rows, placed_rows, with_ordinal
 
 FALLBACK_CANDIDATE = 3
 MINUTE = 60
 
 
-# A name given twice, an empty item or one without a comma: not for the plain map reader.
-IRREGULAR = r"(?s)\t\t|(?:^|\t)[^,\t]*(?:\t|$)|(?:^|\t)([^,\t]*),(?:.*\t)?\1,"
+def _items(text: Column) -> Column:
+    return F.split(text, FIELD_SEPARATOR)
 
 
-def _named(text: Column) -> Column:
-    """A map from the ``name,rest`` items of a tab-separated list; a name given twice keeps its last item."""
+def _names(items: Column) -> Column:
+    """Distinct names of ``name,rest`` items; empty items have none."""
+    return F.array_distinct(F.transform(F.filter(items, lambda x: x != ""), lambda x: F.substring_index(x, ",", 1)))
+
+
+def _named(text: Column, items: Column, names: Column) -> Column:
+    """A map from the ``name,rest`` items of a tab-separated list; a name given twice keeps its last item.
+
+    A list with as many names as items is read as it is. Otherwise the items are sorted by name and place, and of equal neighbours the last one stays.
+    """
     plain = F.str_to_map(text, F.lit(FIELD_SEPARATOR), F.lit(","))
-    items = F.filter(F.split(text, FIELD_SEPARATOR), lambda x: x != "")
     entries = F.transform(
-        items,
-        lambda x, i: F.struct(
-            F.substring_index(x, ",", 1).alias("k"), F.get(F.split(x, ",", 2), F.lit(1)).alias("v"), i.alias("i")
-        ),
-    )
-    last = F.filter(
-        entries, lambda e: ~F.exists(entries, lambda later: (later["k"] == e["k"]) & (later["i"] > e["i"]))
+        F.filter(items, lambda x: x != ""),
+        lambda x, i: F.struct(F.substring_index(x, ",", 1).alias("k"), i.alias("i"), F.get(F.split(x, ",", 2), F.lit(1)).alias("v")),
     )
-    careful = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
-    return F.when(text.rlike(IRREGULAR), careful).otherwise(plain)
+
+    def last_of_each(ordered: Column) -> Column:
+        kept = F.filter(ordered, lambda e, i: ~F.coalesce(F.get(ordered, i + 1)["k"] == e["k"], F.lit(False)))
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"], e["v"])))
+
+    # The sorted list is made once for all of its items.
+    careful = F.get(F.transform(F.array(F.array_sort(entries)), last_of_each), F.lit(0))
+    return F.when(F.size(names) == F.size(items), plain).otherwise(careful)
 
 
 def parse_trace(df: DataFrame, value: str = "value", cost_type: str = "double") -> DataFrame:
@@ -59,25 +69,22 @@ def parse_trace(df: DataFrame, value: str = "value", cost_type: str = "double")
         .withColumn("_priced", stripped(F.get("_maps", F.lit(0))))
         .withColumn("_loaded", stripped(F.get("_maps", F.lit(1))))
         .withColumn("_millis", F.get("_features", F.lit(0)).try_cast("bigint"))
-        .withColumn("_costs", _named(F.col("_priced")))
-        .withColumn(
-            "_loads",
-            F.transform_values(_named(F.col("_loaded")), lambda k, v: F.split(v, ";").try_cast("array<double>")),
-        )
-    )
-    # Not taken from the map: filters on candidates are pushed down to the scan, and are cheaper without it.
-    names = F.array_distinct(
-        F.transform(
-            F.filter(F.split("_priced", FIELD_SEPARATOR), lambda x: x != ""), lambda x: F.substring_index(x, ",", 1)
-        )
+        .withColumn("_price_items", _items(F.col("_priced")))
+        .withColumn("_load_items", _items(F.col("_loaded")))
+        .withColumn("_price_names", _names(F.col("_price_items")))
+        .withColumn("_load_names", _names(F.col("_load_items")))
     )
+    costs = _named(F.col("_priced"), F.col("_price_items"), F.col("_price_names"))
+    loads = _named(F.col("_loaded"), F.col("_load_items"), F.col("_load_names"))
+    numbers = F.transform_values(loads, lambda k, v: F.split(v, ";").try_cast("array<double>"))
     return staged.select(
         *[c for c in df.columns if c != value],
         F.timestamp_seconds(F.floor(F.col("_millis") / 1000)).alias("ts"),
         F.col("_features").alias("features"),
-        names.alias("candidates"),
-        F.transform_values("_costs", lambda k, v: v.try_cast(cost_type)).alias("costs"),
-        F.transform_values("_loads", lambda k, v: steps(v)).alias("loads"),
+        # Not taken from the map: filters on candidates are pushed down to the scan, and are cheaper without it.
+        F.col("_price_names").alias("candidates"),
+        F.transform_values(costs, lambda k, v: v.try_cast(cost_type)).alias("costs"),
+        F.transform_values(numbers, lambda k, v: steps(v)).alias("loads"),
         (F.col("_millis").isNotNull() & (F.size("_halves") == 2) & (F.size("_maps") == 2)).alias("ok"),
     )
 
@@ -138,15 +145,16 @@ def load_share(df: DataFrame, order_by: tuple[str, ...] = ("line_no",)) -> DataF
     """Running count of each valid session's decision within its minute, over the minute's sessions.
 
     The minute's total has all sessions; only valid ones raise the running count.
-    Hot minutes are numbered across partitions, and the totals (one row a minute)
+    The sessions are parsed once, then stored in order. Hot minutes are numbered across its partitions, and the totals (one row a minute)
     are looked up.
     """
-    begin = first_second(df)
-    staged = df.withColumn("minute", F.floor((second_of() - begin) / MINUTE).cast("bigint"))
+    placed = placed_rows(materialize(df.withColumn("_valid", is_candidate()).drop("candidates"), "sessions"), order_by)
+    begin = first_second(placed)
+    staged = placed.withColumn("minute", F.floor((second_of() - begin) / MINUTE).cast("bigint"))
     totals = staged.groupBy("minute").agg(F.count(F.lit(1)).alias("total_sessions"))
-    kept = valid_choice(staged).drop("candidates")
-    numbered = with_ordinal(kept, order_by, ("minute", "decision"), "running")
-    return numbered.join(totals, "minute").withColumn("load", F.col("running") / F.col("total_sessions"))
+    numbered = numbered_rows(staged.filter("_valid"), "running", ("minute", "decision")).drop("_valid", *PLACE)
+    shares = lookup_join(numbered, totals, ["minute"], "inner")
+    return shares.withColumn("load", F.col("running") / F.col("total_sessions"))
 
 
 def load_cost_factor(df: DataFrame, enabled: bool = False) -> DataFrame:

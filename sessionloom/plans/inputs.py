@@ -14,7 +14,6 @@ from ..functions.draws import keyed_draw
 from ..functions.ticks import tick_of, utc
 from ..operators.traces import parse_trace
 from ..schemas import DECISION_MARK, EVENTS, FIELD_SEPARATOR, LOAD_MARK
-from ..session import materialize
 
 DAY, HOUR = 86_400, 3_600
 ORIGIN_DAY = 19_723  # 2024-01-01, the first day of the test tables
@@ -206,8 +205,8 @@ def trace_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trace(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed trace. The lines are stored first, as a trace comes from files."""
-    return parse_trace(materialize(trace_lines(spark, sf), "lines"), cost_type="decimal(18,3)")
+    """Parsed trace."""
+    return parse_trace(trace_lines(spark, sf), cost_type="decimal(18,3)")
 
 
 def response_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import selection, state, windows
 from ..functions.ticks import tick_of
+from ..session import materialize
 from . import inputs as I
 from . import oracle_parts as P
 from .catalog import query
@@ -138,7 +139,7 @@ def best_by_mean(spark, sf):
 )
 def state_merge(spark, sf):
     """The newest tick merged into the state of the tick before."""
-    sums = state.bucket_sums(I.updates(spark, sf), I.DAY)
+    sums = materialize(state.bucket_sums(I.updates(spark, sf), I.DAY), "sums")
     last = sums.select(F.max("b")).scalar()
     old = state.discounted_latest(sums, I.GAMMA, last - 1)
     new = sums.filter(F.col("b") == last)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assignment, series, traces
+from ..operators import series, traces
 from ..session import materialize
 from . import inputs as I
 from . import oracle_parts as P
@@ -100,7 +100,7 @@ ld AS (SELECT sh.*, total_sessions, CAST(running AS DOUBLE) / total_sessions AS
 @query("load_share", f"WITH {SHARE} SELECT line_no, minute, decision, running, total_sessions, load FROM ld")
 def load_share(spark, sf):
     parsed = I.trace(spark, sf).select("line_no", "ts", "candidates", "decision")
-    shares = traces.load_share(materialize(parsed, "parsed"))
+    shares = traces.load_share(parsed)
     return shares.select("line_no", "minute", "decision", "running", "total_sessions", "load")
 
 
@@ -111,7 +111,7 @@ def load_share(spark, sf):
 )
 def load_cost_factor(spark, sf):
     parsed = I.trace(spark, sf).select("line_no", "ts", "candidates", "loads", "decision")
-    shares = traces.load_share(materialize(parsed, "parsed"))
+    shares = traces.load_share(parsed)
     plain = traces.load_cost_factor(shares).withColumnRenamed("factor", "plain")
     return traces.load_cost_factor(plain, enabled=True).select(
         "line_no", F.col("plain").cast("decimal(2,1)").alias("plain"), F.col("factor").cast("decimal(2,1)").alias("factor")
@@ -142,10 +142,9 @@ def moving_avg_overlap(spark, sf):
 
 
 def failover(spark, sf):
-    """Session results of two front ends: cost, mode and part."""
+    """Block means of the session results of two front ends."""
     priced = traces.cost_with_fallback(I.trace(spark, sf)).select("line_no", "mode", "cost")
-    rows = assignment.round_robin(materialize(priced, "priced"), 2).drop("ordinal")
-    return rows.withColumn("part", series.frontend_part())
+    return series.failover_blocks(priced)
 
 
 BLOCKS = f"""
@@ -159,7 +158,7 @@ bm AS (SELECT CAST(part AS INTEGER) AS part, block, CAST(sum(cost) AS DOUBLE) /
 
 @query("block_means", f"WITH {BLOCKS} SELECT part, block, mean FROM bm")
 def block_means(spark, sf):
-    return series.block_means(failover(spark, sf))
+    return failover(spark, sf).select("part", "block", "mean")
 
 
 @query(
@@ -169,10 +168,7 @@ def block_means(spark, sf):
         FROM bm a JOIN bm b ON a.block = b.block WHERE a.part = 0 AND b.part = 1""",
 )
 def zip_series(spark, sf):
-    means = block_means(spark, sf)
-    first, second = means.filter("part = 0"), means.filter("part = 1")
-    gap = series.length_gap(first, second).select("gap").scalar()
-    return series.zip_series(first, second).withColumn("gap", gap)
+    return series.paired_blocks(failover(spark, sf)).select("block", "first", "second", "gap")
 
 
 NAME_LIST = "[" + ", ".join(f"'{a}'" for a in I.ALGORITHMS) + "]"

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import exchange, responses, series, traces
-from sessionloom.operators.ordinal import previous_value, with_ordinal
+from sessionloom.functions.ticks import RUN, number_line
+from sessionloom.operators.ordinal import numbered_rows, placed_rows, previous_value, with_ordinal
 
 
 @pytest.fixture(scope="module")
@@ -181,3 +182,58 @@ def test_feature_counts_skip_the_last_labels(spark):
     df = spark.createDataFrame([(1, "a\tb\td\t1"), (2, "a\tc\td\t2"), (3, "x")], "event_id long, value string")
     got = sorted(r.value for r in exchange.feature_counts(df, 1.0).collect())
     assert got == ["0;a;2", "1;b;1", "1;c;1"]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_several_numbers_from_one_stored_order(spark, skewed, parts):
+    placed = placed_rows(spark.createDataFrame(skewed, "id long, g string, v int").repartition(parts), ["v", "id"])
+    both = numbered_rows(numbered_rows(placed, "n", dense=True), "i", ["g"])
+    some = numbered_rows(placed.filter("id % 3 = 0"), "few", ["g"])
+    order, seen = sorted(skewed, key=lambda r: (r[2], r[0])), {}
+    want = {}
+    for n, (i, g, _) in enumerate(order, 1):
+        seen[g] = seen.get(g, 0) + 1
+        want[i] = (n, seen[g])
+    assert {r.id: (r.n, r.i) for r in both.collect()} == want
+    seen = {}
+    for i, g, _ in order:
+        if i % 3 == 0:
+            seen[g] = seen.get(g, 0) + 1
+            want[i] = seen[g]
+    assert {r.id: r.few for r in some.collect()} == {i: want[i] for i, *_ in skewed if i % 3 == 0}
+
+
+def test_failover_blocks_and_their_gap(spark):
+    rows = [(i, float(i * i % 13)) for i in range(1, 118)]
+    means = series.failover_blocks(spark.createDataFrame(rows, "line_no int, cost double"), 3, n=10)
+    plain = {0: [c for k, (_, c) in enumerate(rows) if k % 3 == 0], 1: [c for k, (_, c) in enumerate(rows) if k % 3]}
+    blocks = {p: [sum(v[i : i + 10]) / 10 for i in range(0, len(v) - 9, 10)] for p, v in plain.items()}
+    assert {(r.part, r.block): r.mean for r in means.collect()} == pytest.approx({(p, i): m for p, v in blocks.items() for i, m in enumerate(v)})
+    pairs = series.paired_blocks(means).collect()
+    assert sorted((r.block, r.gap) for r in pairs) == [(i, len(blocks[1]) - len(blocks[0])) for i in range(len(blocks[0]))]
+
+
+def test_long_lines_are_made_by_many_tasks(spark):
+    span = spark.createDataFrame([(-5, 3_000_000)], "lo long, hi long")
+    line = number_line(span, "lo", "hi", "n")
+    found = line.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("sum")).collect()
+    assert sum(r["rows"] for r in found) == 3_000_006 and sum(r["sum"] for r in found) == sum(range(-5, 3_000_001))
+    assert len(found) == 4 and max(r["rows"] for r in found) < 3_000_006 * 0.6
+    assert number_line(spark.createDataFrame([(RUN - 1, RUN), (7, 3)], "lo long, hi long"), "lo", "hi", "n").count() == 2
+
+
+def test_long_lists_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        names = [f"d{i}" for i in range(n)] + ["d0"]
+        text = "\t".join(map(str, range(1000, 1015))) + "\tDecisionMap\t" + "\t".join(f"{d},{i}" for i, d in enumerate(names)) + "\tLoadMap\ta,0.1;2"
+        df = spark.createDataFrame([(1, text)], "line_no int, value string")
+        begin = time.perf_counter()
+        row = traces.parse_trace(df).first()
+        taken = time.perf_counter() - begin
+        assert len(row.costs) == n and row.costs["d0"] == float(n) and len(row.candidates) == n
+        return taken
+
+    seconds(10)
+    assert seconds(10_000) < 5

@@ -164,3 +164,57 @@ def test_panes_equal_plain_windows(spark, sf):
 def test_window_length_has_to_be_whole_slides():
     with pytest.raises(ValueError):
         windows.panes_per_window(60, 7)
+
+
+@pytest.mark.parametrize("gamma", [0.0, 1e-200, 0.5, 0.99999, 1.0])
+def test_carried_chunks_are_linear_and_exact(spark, gamma):
+    """Sums of many chunks carried in two levels; blocks of five chunks, so that there are many of both."""
+    h, chunks = 3, 400
+    rows = [("g", "d", c, float(c % 7) - 2.0, 1.0 + c % 3) for c in range(chunks) if c % 4 != 1] + [("h", "d", c, 1.0, 1.0) for c in (5, 399)]
+    ends = spark.createDataFrame(rows, "group_id string, decision string, _c long, _es double, _en double")
+    spine = spark.createDataFrame([(g, "d", c, first * h) for g, first in (("g", 0), ("h", 5)) for c in range(first, chunks)], "group_id string, decision string, _c long, _b0 long")
+    got = {(r.group_id, r._c): (r._cs, r._cn) for r in state.carried_chunks(ends, spine, state.KEYS, gamma, h, cap=5).collect()}
+    totals = {(g, c): (s, n) for g, _, c, s, n in rows}
+    assert len(got) == chunks + chunks - 5
+    for g, first in (("g", 0), ("h", 5)):
+        s = n = 0.0
+        for c in range(first, chunks):
+            assert got[g, c] == pytest.approx((s, n) if gamma else (0.0, 0.0), rel=1e-9, abs=1e-9)
+            own = totals.get((g, c), (0.0, 0.0))
+            # At the start of the next chunk: all of this one, and what came before decayed by it.
+            s, n = own[0] + s * gamma**h, own[1] + n * gamma**h
+
+
+def test_blocks_are_copied_where_they_count(spark):
+    blocks = spark.range(300).select(F.lit("g").alias("group_id"), F.lit("d").alias("decision"), F.col("id").alias("_k"), F.lit(1.0).alias("_es"), F.lit(1.0).alias("_en"))
+
+    def copies(q, size):
+        plan = state.block_copies(blocks, state.KEYS, q, size)
+        return plan.count(), plan.agg(F.max("_en")).first()[0]
+
+    # Nothing decays: one sum for each later block. Otherwise a block reaches a few others only.
+    assert copies(1.0, 1 << 16) == (299, 299.0)
+    count, most = copies(0.99999**65536, 351)
+    assert count == 299 and most == pytest.approx(1.0, rel=1e-6)
+
+
+def test_history_at_slow_decay_equals_the_sum_of_all(spark):
+    rows = [("g", "d", b, 1.0, 1.0) for b in range(0, 900, 7)]
+    sums = spark.createDataFrame(rows, "group_id string, decision string, b long, s double, n double")
+    for gamma in (0.99999, 1.0):
+        got = {r.b: r.n for r in state.discounted_history(sums, gamma, chunk_cap=4).collect()}
+        n = 0.0
+        for b in range(0, 897):
+            n = n * gamma + (b % 7 == 0)
+            assert got[b] == pytest.approx(n, rel=1e-9)
+
+
+@pytest.mark.parametrize("name", ["discounted_latest", "discounted_history", "discounted_reset", "state_merge", "push_decisions", "cluster_heartbeat"])
+def test_reports_are_read_once(spark, sf, name):
+    """The report table is summed and stored first; the plan of the result reads what was stored."""
+    from sessionloom.plans import catalog
+
+    catalog.load()
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+    # What the query itself still scans after it has stored its sums.
+    assert "events.parquet" not in plan[plan.index("== Physical Plan"):]
