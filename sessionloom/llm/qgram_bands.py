@@ -6,7 +6,8 @@ of w characters that occurs with at most k edits shares w - q + 1 - k q q-grams
 q-grams are counted in diagonal bands that overlap by half; bands that reach this bound are verified by a banded
 alignment of the window. The edit budget is ``EDITS`` of the window, less where the bound would be under one.
 
-The items are taken in blocks of at most ``BLOCK_BYTES`` of text, each sent to the executors once: a set of queries against all documents.
+The items are a set of queries against all documents, taken in blocks of about ``BLOCK_BYTES`` of text: a block is broadcast, all documents are
+read against it, and it is given up before the next one. Items of one id are one item, whatever blocks their texts fall in.
 
 Defined cases: null or empty texts hold nothing; items of fewer than ``Q`` characters are found in nothing; null and repeated ids are carried as they
 are (items with equal id are one item, rows of documents are judged one by one); empty tables give empty results; other columns are not read.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import materialize
 from .text_bytes import distinct
 
 Q = 8
@@ -100,16 +102,20 @@ class Windows:
         window, place = self.owner[entry], self.place[entry]
         diagonal = np.repeat(at, n) - place + WINDOW  # never negative
         width = self.width[window]
+        # A band is its window and its cell, packed with a place of the window into one number: as many bits as each needs.
+        cells = int(diagonal.max(initial=0) // self.width.min(initial=1) + 2).bit_length() if len(diagonal) else 1
+        if cells + WINDOW.bit_length() + len(self.codes).bit_length() > 63:
+            raise OverflowError("too many windows for texts of this length; use smaller blocks of items")
         found = []
         for shift in (0, 1):  # a band is two cells; a hit counts for both bands that have its cell
-            band = window * (1 << 40) + (diagonal // width + 1 - shift)
+            band = (window << cells) + (diagonal // width + 1 - shift)
             # A q-gram of the window counts once in a band, however often the text repeats it.
             once = distinct(band * WINDOW + place) // WINDOW
             edge = np.flatnonzero(np.concatenate([[True], once[1:] != once[:-1], [True]])) if len(once) else np.zeros(1, np.int64)
             bands, count = once[edge[:-1]], np.diff(edge)
-            found.append(bands[count >= self.needed[bands >> 40]])
+            found.append(bands[count >= self.needed[bands >> cells]])
         bands = distinct(np.concatenate(found))
-        owner, first = bands >> 40, (bands & ((1 << 40) - 1)) - 1
+        owner, first = bands >> cells, (bands & ((1 << cells) - 1)) - 1
         # Bands of a window that touch are verified as one strip.
         new = np.ones(len(bands), dtype=bool)
         new[1:] = (owner[1:] != owner[:-1]) | (first[1:] - first[:-1] > 2)
@@ -179,9 +185,24 @@ def contaminated(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type, item_type = rows.schema["doc_id"].dataType, benchmark.schema[item_id].dataType
     whole = T.LongType()
-    out = T.StructType([T.StructField(n, t) for n, t in (("doc_id", id_type), ("item_id", item_type), ("start", whole), ("end", whole), ("n_windows", whole), ("edits", whole))])
-    parts = [rows.mapInArrow(searcher(sent, to_arrow_type(item_type), out.names), out) for sent in query_blocks(benchmark, item_id, item_text)]
-    return reduce(DataFrame.unionByName, parts)
+    fields = [("doc_id", id_type), ("item_id", item_type), ("spot", whole), ("start", whole), ("end", whole), ("edits", whole)]
+    out = T.StructType([T.StructField(n, t) for n, t in fields])
+    blocks = item_blocks(benchmark, item_text)
+    # A row is known by its place, the same in each pass over the documents: with several passes they are stored first.
+    rows = rows.withColumn("spot", F.monotonically_increasing_id())
+    rows = rows if blocks == 1 else materialize(rows, "documents")
+    parts = []
+    for block in range(blocks):
+        sent = sent_block(benchmark, item_id, item_text, block, blocks)
+        part = rows.mapInArrow(searcher(sent, to_arrow_type(item_type), out.names), out)
+        if blocks > 1:
+            part = materialize(part, "found")
+            sent.unpersist()
+        parts.append(part)
+    found = reduce(DataFrame.unionByName, parts)
+    spans = F.count_distinct("start", "end").cast("long").alias("n_windows")
+    merged = found.groupBy("doc_id", "item_id", "spot").agg(F.min("start").alias("start"), F.max("end").alias("end"), spans, F.min("edits").alias("edits"))
+    return merged.drop("spot")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -198,34 +219,40 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
 
         return run
 
-    for sent in query_blocks(benchmark, item_id, item_text):
+    blocks = item_blocks(benchmark, item_text)
+    for block in range(blocks):
+        sent = sent_block(benchmark, item_id, item_text, block, blocks)
         docs = docs.mapInArrow(dropper(sent), docs.schema)
+        if blocks > 1:
+            docs = materialize(docs, "clean")
+            sent.unpersist()
     return docs
 
 
-def query_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list:
-    """The items as broadcast lists of (id, text), each of about ``BLOCK_BYTES`` of text."""
+def item_blocks(benchmark: DataFrame, item_text: str) -> int:
+    """Blocks that the items make, each of about ``BLOCK_BYTES`` of text."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(item_text).cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    return 1 + size // BLOCK_BYTES
+
+
+def sent_block(benchmark: DataFrame, item_id: str, item_text: str, block: int, blocks: int):
+    """A block of the items as a broadcast list of (id, text); the driver holds one block at a time."""
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = 1 + size // BLOCK_BYTES
-    sent = []
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(blocks)) == block).orderBy("item", "text")
-        sent.append(benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in own.toLocalIterator()]))
-    return sent
+    own = items.filter(F.pmod(F.coalesce(F.xxhash64("text"), F.lit(0)), F.lit(blocks)) == block).orderBy("item", "text")
+    return benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in own.toLocalIterator()])
 
 
 def searcher(sent, item_kind: pa.DataType, names: list[str]):
+    """Windows found in rows of ``doc_id``, ``text``, ``spot``."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = sent.value
         windows = Windows(queries)
         for batch in batches:
-            by: dict[tuple[int, object], list[tuple[int, int, int]]] = {}
-            for t, item, start, end, edits in find(windows, batch.column(1).to_pylist()):
-                by.setdefault((t, queries[item][0]), []).append((start, end, edits))
-            ids = batch.column(0).take(pa.array([t for t, _ in by], pa.int64()))
-            spans = [(min(s[0] for s in f), max(s[1] for s in f), len({s[:2] for s in f}), min(s[2] for s in f)) for f in by.values()]
-            columns = [pa.array([s[i] for s in spans], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([item for _, item in by], item_kind), *columns], names)
+            hits = list(find(windows, batch.column(1).to_pylist()))
+            rows = pa.array([t for t, *_ in hits], pa.int64())
+            items = pa.array([queries[item][0] for _, item, *_ in hits], item_kind)
+            spans = [pa.array([hit[i] for hit in hits], pa.int64()) for i in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), items, batch.column(2).take(rows), *spans], names)
 
     return run
