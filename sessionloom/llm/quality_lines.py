@@ -78,17 +78,31 @@ def open_ended(line: Column) -> Column:
     return ~line.rlike(CLOSED) & (F.size(words(line)) >= SHORT_LINE)
 
 
+def repeats(lines: Column) -> Column:
+    """For every line whether an earlier one equals it, from the lines sorted with their places."""
+    placed = F.array_sort(F.transform(lines, lambda line, i: F.struct(line.alias("l"), i.alias("i"))))
+
+    def marked(s: Column) -> Column:
+        same = F.transform(s, lambda e, j: F.struct(e["i"].alias("i"), F.coalesce(F.get(s, j - 1)["l"] == e["l"], F.lit(False)).alias("r")))
+        return F.transform(F.array_sort(same), lambda e: e["r"])
+
+    return let(placed, marked)
+
+
 def kept_lines(lines: Column) -> Column:
     """The lines that pass, in order; lines without a word pass."""
+    none = F.array().cast("array<boolean>")
 
-    def repeated(line: Column, i: Column) -> Column:
-        return ~F.col("_distinct") & (F.array_position(lines, line) <= i) & line.rlike(NOT_SPACE)
+    def passing(again: Column) -> Column:
+        def passes(line: Column, i: Column) -> Column:
+            last = i == F.size(lines) - 1
+            repeated = F.coalesce(F.get(again, i), F.lit(False)) & line.rlike(NOT_SPACE)
+            return ~(repeated | line_fails(line) | (~last & open_ended(line)))
 
-    def passes(line: Column, i: Column) -> Column:
-        last = i == F.size(lines) - 1
-        return ~(line_fails(line) | (~last & open_ended(line)) | repeated(line, i))
+        return F.filter(lines, passes)
 
-    return F.filter(lines, passes)
+    # Most texts have no equal lines and are not sorted.
+    return let(F.when(F.col("_distinct"), none).otherwise(repeats(lines)), passing)
 
 
 def word_chars(text: Column) -> Column:
