@@ -2,7 +2,7 @@
 
 Every rule is a regular expression. From its syntax tree comes a Boolean query over the three-letter
 strings that each match must hold. Documents are taken in blocks; a block gets an inverted index from trigrams (of the
-text with A-Z lowered) to the places of its documents, for the trigrams that some query names. Postings
+text with A-Z lowered) to the places of its documents, for the trigrams that some query names; a letter that matches beyond ASCII under its flags is in no trigram. Postings
 are intersected and united as the query says, and only the documents left are searched with the
 expression. A rule without a mandatory trigram searches every document of the block.
 
@@ -44,12 +44,43 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
 )
+#: Published formats of keys and tokens whose prefix or shape tells what they are.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY( BLOCK)?-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
-    Rule("cloud", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("url", r"://[^\s/:@]+:[^\s/:@]+@"),
+    Rule("age", r"AGE-SECRET-KEY-1[0-9A-Z]{58}"),
+    Rule("atlassian", r"ATATT3[A-Za-z0-9_=-]{50,}"),
+    Rule("azure", r"AccountKey=[A-Za-z0-9+/]{86}=="),
+    Rule("databricks", r"dapi[0-9a-f]{32}"),
+    Rule("digitalocean", r"do[opr]_v1_[0-9a-f]{64}"),
+    Rule("discord", r"https://discord(app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+"),
+    Rule("docker", r"dckr_pat_[A-Za-z0-9_-]{27}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("google_client", r"(?<![0-9])[0-9]+-[0-9a-z]{32}\.apps\.googleusercontent\.com"),
+    Rule("google_oauth", r"ya29\.[0-9A-Za-z_-]{20,}"),
+    Rule("grafana", r"glsa_[A-Za-z0-9]{32}_[0-9a-f]{8}"),
+    Rule("huggingface", r"hf_[A-Za-z]{34}"),
+    Rule("linear", r"lin_api_[A-Za-z0-9]{40}"),
+    Rule("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}(?![0-9])"),
+    Rule("mailgun", r"key-[0-9a-f]{32}"),
+    Rule("newrelic", r"NRAK-[A-Z0-9]{27}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("openai", r"sk-[A-Za-z0-9_-]{16,}T3BlbkFJ[A-Za-z0-9_-]{16,}"),
+    Rule("planetscale", r"pscale_(tkn|pw|oauth)_[A-Za-z0-9_.-]{32,}"),
+    Rule("pypi", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[0-9a-fA-F]{32}"),
+    Rule("slack", r"xox[abeprs]-[0-9A-Za-z-]{10,}"),
+    Rule("slack_hook", r"https://hooks\.slack\.com/services/[A-Z0-9]+/[A-Z0-9]+/[A-Za-z0-9]+"),
+    Rule("square", r"sq0(atp|csp)-[0-9A-Za-z_-]{22,43}"),
+    Rule("stripe", r"[rs]k_(live|test)_[0-9A-Za-z]{24,}"),
+    Rule("telegram", r"[0-9]{8,10}:AA[0-9A-Za-z_-]{33}"),
+    Rule("terraform", r"[A-Za-z0-9]{14}\.atlasv1\.[A-Za-z0-9_-]{60,}"),
+    Rule("vault", r"hv[bs]\.[A-Za-z0-9_-]{24,}"),
 )
 
 # A query is True (any text), a trigram, or ("and" | "or", parts).
@@ -77,25 +108,38 @@ def of_strings(strings: set[str]) -> Query:
     return either([both([s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
-def strings_of(node: tuple) -> set[str] | None:
+def plain_letter(code: int, flags: int) -> bool:
+    """Whether a literal matches nothing but itself and, with the flag, its other case in ASCII.
+
+    Without the ASCII flag i, k and s also match letters beyond ASCII when case is ignored (dotted and dotless i, the Kelvin sign, long s).
+    """
+    wide = flags & re.IGNORECASE and not flags & re.ASCII
+    return code < 128 and not (wide and chr(code) in "iIkKsS")
+
+
+def inner_flags(arg: tuple, flags: int) -> int:
+    return (flags | arg[1]) & ~arg[2]
+
+
+def strings_of(node: tuple, flags: int) -> set[str] | None:
     """All strings a node can match, lowered, if they are few; else None."""
     op, arg = str(node[0]), node[1]
     if op == "LITERAL":
-        return {chr(arg).lower()} if arg < 128 else None
+        return {chr(arg).lower()} if plain_letter(arg, flags) else None
     if op == "IN":
         chosen: set[str] = set()
         for kind, value in arg:
-            if str(kind) != "LITERAL" or value > 127 or len(chosen) > MOST_CHOICES:
+            if str(kind) != "LITERAL" or not plain_letter(value, flags) or len(chosen) > MOST_CHOICES:
                 return None
             chosen.add(chr(value).lower())
         return chosen
     if op == "SUBPATTERN":
-        return strings_in(arg[3])
+        return strings_in(arg[3], inner_flags(arg, flags))
     if op == "BRANCH":
-        found = [strings_in(branch) for branch in arg[1]]
+        found = [strings_in(branch, flags) for branch in arg[1]]
         return None if None in found else set().union(*found)
     if op in ("MAX_REPEAT", "MIN_REPEAT") and arg[1] <= 5:
-        one = strings_in(arg[2])
+        one = strings_in(arg[2], flags)
         if one is None:
             return None
         done, last = set() if arg[0] else {""}, {""}
@@ -109,22 +153,22 @@ def strings_of(node: tuple) -> set[str] | None:
     return None
 
 
-def strings_in(nodes: Iterable[tuple]) -> set[str] | None:
+def strings_in(nodes: Iterable[tuple], flags: int) -> set[str] | None:
     done = {""}
     for node in nodes:
-        more = strings_of(node)
+        more = strings_of(node, flags)
         if more is None or len(done) * len(more) > MOST_STRINGS:
             return None
         done = {a + b for a in done for b in more}
     return done
 
 
-def query_in(nodes: Iterable[tuple]) -> Query:
+def query_in(nodes: Iterable[tuple], flags: int) -> Query:
     """What every text with a match of the concatenated nodes holds."""
     parts: list[Query] = []
     run = {""}
     for node in nodes:
-        more = strings_of(node)
+        more = strings_of(node, flags)
         if more is not None and len(run) * len(more) <= MOST_STRINGS:
             run = {a + b for a in run for b in more}
             continue
@@ -132,17 +176,18 @@ def query_in(nodes: Iterable[tuple]) -> Query:
         run = {""} if more is None else more
         op, arg = str(node[0]), node[1]
         if more is None and op == "SUBPATTERN":
-            parts.append(query_in(arg[3]))
+            parts.append(query_in(arg[3], inner_flags(arg, flags)))
         elif more is None and op == "BRANCH":
-            parts.append(either([query_in(branch) for branch in arg[1]]))
+            parts.append(either([query_in(branch, flags) for branch in arg[1]]))
         elif more is None and op in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
-            parts.append(query_in(arg[2]))
+            parts.append(query_in(arg[2], flags))
     return both([*parts, of_strings(run)])
 
 
 def trigram_query(pattern: str) -> Query:
     """The Boolean trigram query of an expression; True if no trigram is mandatory."""
-    return query_in(syntax.parse(pattern))
+    tree = syntax.parse(pattern)
+    return query_in(tree, tree.state.flags)
 
 
 def named(query: Query) -> set[str]:
