@@ -158,3 +158,95 @@ def test_contaminated_rows_go(spark, documents, odd):
     clean = qgram_bands.uncontaminated(docs, items)
     assert sorted(r.doc_id for r in clean.collect()) == [2, 3] and clean.columns == docs.columns
     assert qgram_bands.uncontaminated(odd, items).count() == odd.count() and qgram_bands.contaminated(docs, items.limit(0)).count() == 0
+
+
+def passages_of(documents, rows):
+    return [r.asDict() for r in chaining.passages(documents(rows)).collect()]
+
+
+def test_passages_cover_all_equal_runs(documents):
+    """Every run of 60 words shared with another text lies in passages, up to a few words at its ends that only another holder shares."""
+    draw = random.Random(5)
+    pool = [words(1000 + k, draw.randint(60, 160)) for k in range(12)]
+    texts = {}
+    for k in range(80):
+        parts = [words(3000 + 7 * k, draw.randint(20, 90))]
+        for _ in range(draw.randint(0, 3)):
+            source = draw.choice(pool)
+            cut = draw.randint(0, len(source) - 60)
+            parts += [source[cut : cut + draw.randint(60, 160)], words(5000 + draw.randint(0, 10**6), draw.randint(5, 80))]
+        texts[k] = [w for p in parts for w in p]
+    runs: dict[tuple, list] = {}
+    for k, text in texts.items():
+        for i in range(len(text) - 59):
+            runs.setdefault(tuple(text[i : i + 60]), []).append((k, i))
+    want = {(k, i + j) for places in runs.values() if len({k for k, _ in places}) > 1 for k, i in places for j in range(60)}
+    got = set()
+    for r in passages_of(documents, [(k, " ".join(t)) for k, t in texts.items()]):
+        got |= {(r["doc_id"], i) for i in range(r["start"], r["end"])} | {(r["ref_doc_id"], i) for i in range(r["ref_start"], r["ref_end"])}
+        assert r["edits"] <= chaining.EDITS * (r["end"] - r["start"]) and r["end"] - r["start"] >= chaining.LEAST
+    assert len(want) > 3000
+    for places in runs.values():
+        for k, i in places if len({k for k, _ in places}) > 1 else []:
+            assert sum((k, i + j) in got for j in range(60)) >= 30
+    assert len(want - got) <= 0.05 * len(want)
+    # Beyond: shorter runs that two texts share, and a few words at the ends.
+    assert len(got - want) <= 0.25 * len(got)
+
+
+@pytest.mark.parametrize("rate,least", [(0.05, 58), (0.1, 57), (0.15, 54)])
+def test_edited_passages_are_recalled(documents, rate, least):
+    """Of 60 passages of 100 words with replaced words at least nine in ten, up to near the edit budget."""
+    rows = []
+    for k in range(60):
+        base = words(200 + k, 100)
+        rows.append((2 * k, " ".join(words(400 + k, 80) + base + words(600 + k, 70))))
+        rows.append((2 * k + 1, " ".join(words(800 + k, 60) + edited(base, rate, k) + words(900 + k, 90))))
+    pairs = {tuple(sorted((r["doc_id"], r["ref_doc_id"]))) for r in passages_of(documents, rows)}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in pairs) and len(pairs) >= least
+
+
+def test_ids_with_several_texts_lose_nothing(documents):
+    rows = []
+    for k in range(40):
+        for side in (0, 1):
+            base = words(2000 + 2 * k + side, 70)
+            rows += [(k, " ".join(words(4000 + 2 * k + side, 30) + base)), (100 + 2 * k + side, " ".join(base + words(6000 + 2 * k + side, 40)))]
+    found = passages_of(documents, rows)
+    assert {max(r["doc_id"], r["ref_doc_id"]) for r in found} == set(range(100, 180)) and {min(r["doc_id"], r["ref_doc_id"]) for r in found} == set(range(40))
+
+
+def test_a_partner_named_by_many(documents):
+    """No row grows with the documents that share one passage; each of them is found."""
+    licence = words(31, 90)
+    n = 20_000
+    rows = [(k, " ".join([f"w{k}a", f"w{k}b", *licence, f"w{k}c"])) for k in range(n)]
+    found = passages_of(documents, rows)
+    assert len({r["doc_id"] for r in found}) == n - 1 and {r["ref_doc_id"] for r in found} == {0}
+
+
+def brute_items(rows, items):
+    """Items (id, text) that a text holds whole, by row."""
+    return sorted((i, item) for i, text in rows for item in {j for j, t in items if len(t) >= qgram_bands.Q and t in text})
+
+
+def test_many_short_items(spark, documents):
+    items = [(k, f"{chr(97 + k % 26)}{k:06d}{chr(97 + k // 26 % 26)} stop.") for k in range(200_000)]
+    chosen = [0, 100, 87_381, 87_382, 119_990, 199_999]
+    rows = [(k, "Some words before " + items[k][1] + " and after them") for k in chosen] + [(-1, "nothing of it in here at all")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = qgram_bands.contaminated(documents(rows), table).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, k) for k in chosen]
+
+
+def test_items_of_one_id_in_many_blocks(spark, documents, monkeypatch):
+    monkeypatch.setattr(qgram_bands, "BLOCK_BYTES", 1 << 14)
+    items = [(k % 30, " ".join(words(7000 + k, 30))) for k in range(300)]
+    rows = [(k, " ".join(words(9000 + k, 20)) + " " + " ".join(t for j, t in items[k : k + 3])) for k in range(0, 290, 10)] + [(None, items[7][1] + " tail " + items[37][1])]
+    found = qgram_bands.contaminated(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(found) == len({(r.doc_id, r.item_id) for r in found})
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.item_id) for r in found) == brute_items([(-1 if i is None else i, t) for i, t in rows], items)
+    both = next(r for r in found if r.doc_id is None)
+    assert both.item_id == 7 and both.start == 0 and both.end == len(items[7][1] + " tail " + items[37][1]) and both.edits == 0
+    clean = qgram_bands.uncontaminated(documents([*rows, (5, " ".join(words(12, 60)))]), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r.doc_id for r in clean.collect()] == [5]

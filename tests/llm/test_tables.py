@@ -170,6 +170,111 @@ def test_mix_takes_its_targets(documents, odd):
     assert mixture.mixed_sizes(odd.limit(0)).count() == 0 and mixture.mixed_documents(odd.limit(0)).count() == 0
 
 
+def brute_mix(rows, block, slots, seed):
+    """What the mix takes of every (id, text, source) row, slot by slot in plain Python."""
+    by = defaultdict(list)
+    for i, text, source in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        by[(source is None, source or "")].append((i, len((text or "").split())))
+    names = sorted(by)
+    sizes = [sum(n for _, n in by[s]) for s in names]
+    targets = mixture.water_filled(sizes, [(3, 1, 2)[k % 3] for k in range(len(names))])
+    filled = [k for k in range(len(names)) if targets[k] > 0]
+    wanted = [targets[k] / block for k in filled]
+    goal = [math.floor(w) for w in wanted]
+    for k in sorted(range(len(wanted)), key=lambda k: goal[k] - wanted[k])[: round(sum(wanted)) - sum(goal)]:
+        goal[k] += 1
+    # Every slot of every shard, as drawn, then those past a goal to the sources that lack some.
+    drawn, shard = [0] * len(goal), 0
+    while shard * slots < sum(goal):
+        room = min(slots, sum(goal) - shard * slots)
+        drawn = [a + int(b) for a, b in zip(drawn, np.random.default_rng([seed, shard]).multinomial(room, np.array(goal) / sum(goal)), strict=True)]
+        shard += 1
+    assert sum(drawn) == sum(goal)
+    taken = Counter()
+    for place, k in enumerate(filled):
+        words = [i for i, n in by[names[k]] for _ in range(n)]
+        blocks = [words[b : b + block] for b in range(0, len(words), block)]
+        for j in range(goal[place]):
+            turn, n = divmod(j, len(blocks))
+            key = int(mixture.mix(np.array([seed * 1000003 + place * mixture.PASSES + turn], dtype=np.uint64))[0])
+            taken.update(blocks[int(mixture.permuted(np.array([n]), len(blocks), key)[0])])
+    of = {i: (sizes[k], targets[k]) for k, s in enumerate(names) for i, _ in by[s]}
+    return {i: (len((t or "").split()), *of[i], taken[i]) for i, t, _ in rows}
+
+
+@pytest.mark.parametrize("block,slots", [(8, 16), (64, 4096)])
+def test_mix_equals_brute_force(documents, block, slots):
+    draw = np.random.default_rng(6)
+    names = ["b", "a", None, "Z", "é"]
+    rows = [(k, None if k == 3 else " ".join(["w"] * int(draw.integers(0, 120))), names[min(int(draw.integers(0, 9)), 4)]) for k in range(200)]
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in mixture.mixed_sizes(documents(rows, clash=True), block=block, slots=slots).collect()}
+    want = brute_mix(rows, block, slots, mixture.SEED)
+    assert got == {i: (n, s, pytest.approx(t), k) for i, (n, s, t, k) in want.items()}
+
+
+def test_drawn_slots_settle_on_their_targets():
+    targets, drawn = np.array([5, 3, 4]), np.array([8, 1, 3])
+    settled = mixture.Settled(targets, drawn)
+    got = Counter()
+    for number, pieces in ((0, (0, 3, 5, 8)), (1, (0, 1)), (2, (0, 2, 3))):
+        for first, last in zip(pieces, pieces[1:], strict=False):
+            for taker, slots in settled.slots(number, first, last - first):
+                got.update((taker, int(j)) for j in slots)
+    assert got == Counter({(k, j): 1 for k, n in enumerate(targets.tolist()) for j in range(n)})
+
+
+def test_mixed_texts_keep_their_white_space(documents):
+    text = "\n\n".join(f"Para {k} has  two blanks\tand a tab." for k in range(400))
+    rows = mixture.mixed_documents(documents([(1, text, "s")])).collect()
+    # Stretches begin and end at blocks; a line end parts those that do not follow each other.
+    assert rows and all(part in text for r in rows for part in r.text.split("\n"))
+    assert any("  two blanks\tand" in r.text and "\n\n" in r.text for r in rows)
+
+
+def test_a_long_text_is_cut_once(documents):
+    """Time grows with the text, not with the text times its pieces."""
+    import time
+
+    plan = mixture.mixed_documents(documents([(1, "a b c", "s")]))._jdf.queryExecution().optimizedPlan().toString()
+    pieces = plan[plan.index("lambda"):] if "lambda" in plan else ""
+    assert "regexp_extract_all" in plan and "slice(regexp_extract_all" not in pieces
+
+    def seconds(n):
+        docs = documents([(1, " ".join(f"w{k}" for k in range(n)), "s")])
+        begin = time.perf_counter()
+        assert sum(len(r.text.split()) for r in mixture.mixed_documents(docs).collect()) == round(1.5 * n / 64) * 64
+        return time.perf_counter() - begin
+
+    seconds(6400)
+    assert seconds(76_800) < 2.5 * max(seconds(38_400), 1.0)
+
+
+ODD_TEXTS = ["", "a", "a\0b a\0 a", "x" * 50 + " " + "x" * 16 + " " + "x" * 17, "<|endoftext|> <|startoftext|>a b<|endoftext|>c", "á ß İ 𝒳 é́ \u00a0 it's don't", None, " \t\n", "w " * 3000]
+
+
+def test_word_tables_give_the_ids_of_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from sessionloom.llm import word_table
+
+    library = Tokenizer.from_file(PATH)
+    draw = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnop.,'é"))
+    texts = ODD_TEXTS + [" ".join("".join(draw.choice(letters, int(draw.integers(1, 22)))) for _ in range(int(draw.integers(0, 60)))) for _ in range(300)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    data = [None if t is None else t.encode() for t in texts]
+    for words, recent, slice_ in ((1_500_000, 1 << 16, 1 << 20), (500, 50, 1 << 9), (20, 5, 64)):
+        monkeypatch.setattr(word_table, "CACHED_WORDS", words)
+        monkeypatch.setattr(word_table, "RECENT", recent)
+        monkeypatch.setattr(word_table, "SLICE", slice_)
+        table = word_table.WordTable(PATH)
+        for _ in range(2):
+            assert [i.tolist() for i in table.ids(data)] == want
+    # Words with equal hashes are told apart.
+    monkeypatch.setattr(word_table, "mix", lambda x: x & np.uint64(3))
+    assert [i.tolist() for i in word_table.WordTable(PATH).ids(data)] == want
+
+
 @pytest.mark.parametrize("kinds", [1, 2, 5, 300])
 def test_grammars_expand_to_their_ids(kinds):
     draw = np.random.default_rng(kinds)
@@ -233,3 +338,19 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf):
     docs = spark.createDataFrame([single[i] for i in sorted(clean)], spark.read.parquet(f"{sf}/documents.parquet").schema)
     want = sorted(map(tuple, corpus_pipeline.token_ids(spark, corpus_pipeline.mixing(spark, docs, sf), sf).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == want
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, sf):
+    """Every stage takes nulls, empty and long texts, repeated rows, clashing columns and an empty table."""
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (odd, odd.limit(0)):
+        for name, stage in list(stages.items())[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert len(rows) <= 2 * docs.count() and (docs is odd or not rows)
+        assert stages["token_ids"](spark, docs, sf).count() == docs.count()
+    # What the filters see alone: clean, unrepeated rows stay.
+    assert stages["decontamination"](spark, odd, sf).count() == odd.count()
+    same = stages["near_duplicates"](spark, odd, sf).collect()
+    assert sum(r.doc_id == 6 for r in same) == 1 and {r.doc_id for r in same} >= {1, 2, 3, 4, 5}

@@ -110,3 +110,82 @@ def test_lines_fail_first_then_the_document(documents):
 def test_repeated_windows(documents):
     row = quality_lines.judged(documents([(1, "a a a a b c d a a a")])).first()
     assert row.n_repeat_words == 7 and row.n_words == 10
+
+
+def test_letters_that_match_beyond_ascii_are_in_no_trigram():
+    q = secret_index.trigram_query
+    assert q("(?i)kilo[0-9]+") is True and q("(?ai)kilo[0-9]+") == ("and", "ilo", "kil") or q("(?ai)kilo[0-9]+") == ("and", "kil", "ilo")
+    assert q("(?i)abcde") == ("and", "abc", "bcd", "cde") and q("(?i:task)abc") == "abc" and q("(?i:x(?-i:kilo))") == q("(?i:x)kilo")
+    for rule, text in ((secret_index.Rule("x", "(?i)kilo[0-9]+abc"), "\u212ailo77ABC"), (secret_index.Rule("x", "(?i)mass_[a-c]+"), "ma\u017fs_abc")):
+        query = q(rule.pattern)
+        assert re.search(rule.pattern, text)
+        assert query is True or len(secret_index.BlockIndex([text.encode()], secret_index.named(query)).find(query)) == 1
+
+
+SAMPLES = {
+    "pem": "-----BEGIN RSA PRIVATE KEY-----", "jwt": "eyJhbGciOi12.eyJzdWIiOi12.abcdefgh12", "url": "postgres://me:pw@host", "slack": "xoxb-1234567890-abc",
+    "github": "ghp_" + "a1B2" * 9, "gitlab": "glpat-" + "a" * 20, "google": "AIza" + "b" * 35, "stripe": "sk_live_" + "0a" * 12, "npm": "npm_" + "z9" * 18,
+    "google_client": "123-" + "a0" * 16 + ".apps.googleusercontent.com", "telegram": "123456789:AA" + "x" * 33, "vault": "hvs." + "q" * 24,
+    "sendgrid": "SG." + "a" * 22 + "." + "b" * 43, "shopify": "shpat_" + "0f" * 16, "mailchimp": "0f" * 16 + "-us12", "age": "AGE-SECRET-KEY-1" + "Q" * 58,
+}
+
+
+def test_scan_equals_plain_search(spark, sf, documents):
+    """Counts, digest and spans of the query against the expressions applied to every text."""
+    import hashlib
+
+    from sessionloom.llm import queries
+
+    rules = secret_index.BASE + secret_index.MORE
+    assert len(secret_index.MORE) >= 25 and len({r.kind for r in rules}) == len(rules)
+    order = {r.kind: k for k, r in enumerate(rules)}
+
+    def plain(text, some):
+        found = []
+        for rule in some:
+            for m in re.finditer(rule.pattern, text):
+                if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                    found.append((m.start(), order[rule.kind], m.end(), rule.kind))
+        return [f"{kind}:{start}:{end}" for start, _, end, kind in sorted(found)]
+
+    raw = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op7(spark, sf).collect():
+        base = plain(raw[r.doc_id], secret_index.BASE)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(f"{k}:") for s in base) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert r.spans == ",".join(plain(raw[r.doc_id], rules))
+    rows = [(k, f"é {text} and more") for k, text in enumerate(SAMPLES.values())]
+    found = {r.doc_id: {s["kind"] for s in r.found} for r in secret_index.scan(documents(rows)).collect()}
+    assert all(kind in found[k] for k, kind in enumerate(SAMPLES))
+
+
+def brute_repeats(lines):
+    return [line in lines[:i] and bool(line.strip(" \t\n\v\f\r")) for i, line in enumerate(lines)]
+
+
+def test_repeated_lines_are_found_by_sorting(spark, documents):
+    import time
+
+    from pyspark.sql import functions as F
+
+    cases = [["a", "b", "a", "", "", " ", " ", "b", "a", "c"], ["x"], [""], ["q"] * 5]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, lines array<string>")
+    got = {r.i: r.m for r in df.select("i", quality_lines.repeats(F.col("lines")).alias("m")).collect()}
+    assert got == {i: [line in c[:k] for k, line in enumerate(c)] for i, c in enumerate(cases)}
+
+    def seconds(n):
+        text = "\n".join(f"Line {i % (n - 1)} ends here." for i in range(n))
+        begin = time.perf_counter()
+        row = quality_lines.judged(documents([(1, text)])).first()
+        assert row.n_dup_lines == 1 and len(row.clean_text.split("\n")) == n - 1
+        return time.perf_counter() - begin
+
+    seconds(1_000)
+    assert seconds(40_000) < max(1.0, 3.5 * seconds(20_000))
+
+
+def test_cleaned_odd_rows(odd):
+    """Nothing of them is long enough or varied enough but the long text; columns stay."""
+    kept = quality_lines.clean(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {4}
+    assert quality_lines.clean(odd.limit(0)).count() == 0
