@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sessionloom.llm import chaining, minhash_bayes, qgram_bands
@@ -112,6 +113,48 @@ def test_chains_rise_and_skip_far_jumps():
     assert len(chaining.chains(pos, [100, 104, 108, 112, 5, 9])) == 2
 
 
+def matches(rows):
+    """A batch of matches (document, partner, place, partner's place) in the order that the chaining step takes."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2] - r[3], r[2]))
+    ids, refs, pos, ref = (list(c) for c in zip(*rows, strict=True))
+    one = pa.array([1] * len(rows), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(ids), one, pa.array(refs), one, pa.array(pos, pa.int32()), pa.array(ref, pa.int32())], [*chaining.SIDES, "pos", "ref_pos"])
+
+
+def test_runs_chain_as_their_matches_do():
+    """A run enters the tree as one; its chain ends where the chain of its matches, taken one by one, does."""
+    for seed in range(60):
+        draw = random.Random(seed)
+        rows, place = set(), 0
+        for _ in range(40):
+            place += draw.choice([1, 2, 3, 5, 8])
+            rows.add((1, 2, place, place + 100 + (place > 90) * 3))
+        batch = matches([*rows, *rows])
+        got = [tuple(r.values())[4:] for b in chaining.chained()([batch]) for r in b.to_pylist()]
+        one_by_one = sorted((p, r) for _, _, p, r in rows)
+        assert sorted(got) == sorted(chaining.chains([p for p, _ in one_by_one], [r for _, r in one_by_one]))
+
+
+def test_a_chain_takes_a_near_match_where_a_far_one_scores_more():
+    pos = [*range(0, 40, 4), 60, 62]
+    ref = [*range(100, 140, 4), 240, 242]
+    # The run at 100 ends too far from the place 200; a single match beside it goes on.
+    found = chaining.chains([*pos, 70], [*ref, 251])
+    assert (60, 75, 240, 256) in found and (0, 41, 100, 141) in found
+
+
+@pytest.mark.parametrize("cut", [1, 3, 7])
+def test_batches_are_cut_between_documents(cut):
+    whole = matches([(d, r, p, p + 50) for d in (1, 2, 3) for r in (8, 9) for p in range(0, 5 * d, 4)])
+    parts = [whole.slice(b, cut) for b in range(0, whole.num_rows, cut)]
+    for width in (1, 4):
+        groups = [[r[:width] for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] for b in chaining.whole_groups(parts, width)]
+        assert sum(len(g) for g in groups) == whole.num_rows
+        seen = [set(g) for g in groups]
+        assert all(not a & b for i, a in enumerate(seen) for b in seen[:i])
+    assert list(chaining.whole_groups([], 2)) == []
+
+
 def test_word_edits():
     x = np.arange(60, dtype=np.uint32)
     assert chaining.reach(x, x, 3) == 0 and chaining.reach(x, np.delete(x, 20), 3) == 1
