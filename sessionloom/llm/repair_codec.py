@@ -36,7 +36,7 @@ from .word_table import table_of
 
 SHARD_IDS = 1 << 19
 LEAST_COUNT = 8
-BIN_BITS, BIN_FACTOR = 19, np.uint64(0x9E3779B97F4A7C15)
+BIN_BITS, BIN_FACTOR = 17, np.uint64(0x9E3779B97F4A7C15)
 SHARE = 16  # of the most frequent pair's count that a pair needs to be replaced in the same round
 LEAST_GAIN = 1 / 512  # of the symbols that a round has to save for another one to follow
 
@@ -63,6 +63,17 @@ class Grammar:
             symbols = out
         return symbols.astype("<u4")
 
+    def whole(self) -> np.ndarray:
+        """Ids of the whole sequence, each rule expanded once; step by step where that takes more room than the ids."""
+        n = int(self.ends()[-1]) if len(self.symbols) else 0
+        if self.base + int(self.spans.sum()) > n:
+            return self.expanded(self.symbols)
+        size = np.concatenate([np.ones(self.base, dtype=np.int64), self.spans])
+        count = size[self.symbols]
+        pool = np.concatenate([np.arange(self.base, dtype="<u4"), self.expanded(np.arange(self.base, self.base + len(self.rules)))])
+        offset = (np.cumsum(size) - size)[self.symbols] - (self.ends() - count)
+        return pool[np.repeat(offset, count) + np.arange(n)]
+
     def between(self, begin: int, end: int) -> np.ndarray:
         """Ids ``begin`` .. ``end`` - 1 from the symbols that cover them."""
         if begin >= end:
@@ -211,7 +222,7 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
                 g = Grammar(row["base"], rules, np.frombuffer(row["spans"], dtype="<u4").astype(np.int64), widened(row["symbols"]))
                 starts = [0, *row["ends"][:-1]]
                 # The whole shard is read, so it is expanded once; one document alone comes from ``between``.
-                whole = g.expanded(g.symbols)
+                whole = g.whole()
                 ids = [whole[b:e].tobytes() for b, e in zip(starts, row["ends"], strict=True)]
                 places = pa.array([row["first"] + s for s in starts], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_kind), places, pa.array(ids, pa.binary())], names)

@@ -119,6 +119,9 @@ class WordTable:
         low = eight[at] & MASKS[np.minimum(n, 8)]
         high = eight[np.minimum(at + 8, len(raw) - 8)] & MASKS[np.maximum(n - 8, 0)]
         keys = mix(low * GOLD + mix(high + n.astype(np.uint64)) + U(1))
+        # In order of key the tables are read from one end to the other.
+        order = np.argsort(keys)
+        short, at, n, low, high, keys = (x[order] for x in (short, at, n, low, high, keys))
 
         def look(level: Level, rows: np.ndarray) -> np.ndarray:
             known, row = level.find(keys[rows], low[rows], high[rows], n[rows])

@@ -281,7 +281,7 @@ def test_grammars_expand_to_their_ids(kinds):
     for n in (0, 1, 2, 3, 50, 5000):
         ids = draw.integers(0, kinds, n).astype("<u4")
         g = repair_codec.compressed(ids)
-        assert (g.expanded(g.symbols) == ids).all() and len(g.symbols) <= n
+        assert (g.expanded(g.symbols) == ids).all() and (g.whole() == ids).all() and len(g.symbols) <= n
         for _ in range(8):
             a, b = sorted(draw.integers(0, n + 1, 2).tolist())
             assert (g.between(a, b) == ids[a:b]).all()
@@ -292,6 +292,10 @@ def test_repeats_are_replaced():
     ids = np.tile(np.arange(40), 100).astype("<u4")
     g = repair_codec.compressed(ids)
     assert len(g.symbols) + 2 * len(g.rules) < len(ids) / 4 and g.spans.max() > 2
+    # Few rules for many ids: each is expanded once.
+    prose = np.random.default_rng(1).choice(np.array([3, 5, 8, 9]), 20_000, p=[0.7, 0.1, 0.1, 0.1]).astype("<u4")
+    g = repair_codec.compressed(prose)
+    assert g.base + g.spans.sum() < len(prose) and (g.whole() == prose).all() and g.whole().dtype == prose.dtype
 
 
 def test_files_give_the_ids_back(spark, documents, odd, tmp_path):
