@@ -15,11 +15,11 @@ from ..operators.updates import parse_updates, valid_updates
 from ..operators.windows import window_scores
 from ..schemas import RESET_EVERY
 from ..session import materialize
-from ..sources.folders import checkpoint_owner
+from ..sources.folders import batch_watermark, checkpoint_owner
 from ..sources.store import LatestStore
 from ..streaming.run import each_batch
 from ..streaming.state import reset_ticks, stream_discounted, tick_sums
-from ..streaming.windows import stream_best
+from ..streaming.windows import stream_panes, window_ends
 
 STATE_KEYS = (*KEYS, "slot")
 DELAY = 3_600
@@ -158,32 +158,52 @@ def epsilon_stream(
     ``publish`` gets the decisions in force at the ticks that closed in a batch: ``group_id``, ``tick``, ``w_end`` (the window the decision comes
     from, which is older than the tick for a silent group) and the message ``value``. The last decision of each group is stored under
     ``state_path``, so a group stays in force however long it is silent.
+
+    The stream's own state holds the open panes of one slide. Panes that closed are copied to the windows that hold them in plain batch steps, and
+    the panes that later windows need, those of one window length, are kept beside the decisions, anew for every batch.
     """
     spark = messages.sparkSession
     updates = valid_updates(parse_updates(messages, cost_type=cost_type))
-    best = stream_best(updates, length, slide, f"{delay_seconds} seconds", digits)
-    formed = best_messages(best, epsilon, origin).select("group_id", F.unix_seconds("w_end").alias("w_end"), "value")
+    panes = stream_panes(updates, slide, f"{delay_seconds} seconds")
     store: list[LatestStore] = []
 
+    def kept(batch_id: int) -> str:
+        return f"{state_path.rstrip('/')}/_panes/{batch_id:012d}"
+
     def serve(batch: DataFrame, batch_id: int) -> None:
         if not store:
             store.append(LatestStore(spark, state_path, ["group_id"], owner=checkpoint_owner(spark, checkpoint)))
-        rows = batch.persist()
+        before = [v for v in store[0].versions() if v < batch_id]
+        note = store[0].note(before=batch_id)
+        after, closed = note.get("through"), note.get("closed")
+        # All windows that end by the watermark are closed: their panes have come out in this batch or in those before.
+        through = batch_watermark(spark, checkpoint, batch_id) // 1000 // slide * slide
+        closing = batch.persist()
+        known_panes = closing if not before else closing.unionByName(spark.read.schema(closing.schema).parquet(kept(before[-1])))
+        scores = window_ends(known_panes, length, slide, after, through)
+        if digits is not None:
+            scores = scores.withColumn("s", F.round("s", digits))
+        rows = best_messages(best_by_mean(scores, ("group_id", "w_end")), epsilon, origin).select("group_id", "w_end", "value").persist()
         try:
+            known_panes.filter(F.col("end") > _whole(through + slide - length)).write.mode("overwrite").parquet(kept(batch_id))
             span = rows.agg(F.min("w_end").alias("lo"), F.max("w_end").alias("hi")).first()
-            closed = store[0].note(before=batch_id).get("closed")
             old = store[0].read(before=batch_id)
             newest = rows.groupBy("group_id").agg(F.max_by("value", "w_end").alias("value"), F.max("w_end").alias("w_end"))
             last = closed if span["hi"] is None else span["hi"]
-            store[0].merge(newest.select("group_id", "w_end", "value"), batch_id, order=["w_end"], note={"closed": last})
+            store[0].merge(newest.select("group_id", "w_end", "value"), batch_id, order=["w_end"], note={"closed": last, "through": through})
             if span["hi"] is not None:
                 first = span["lo"] if closed is None else closed + slide
                 known = rows if old is None else rows.unionByName(old)
                 publish(carry_forward(known, _whole(first), _whole(last), slide), batch_id)
+            # Only the batch before can be asked for again, by a replay of this one.
+            for name in store[0].folder.names("_panes"):
+                if before and int(name) < before[-1]:
+                    store[0].folder.remove(f"_panes/{name}")
         finally:
             rows.unpersist()
+            closing.unpersist()
 
-    return each_batch(formed, serve, checkpoint, "append", trigger)
+    return each_batch(panes, serve, checkpoint, "append", trigger)
 
 
 def _whole(number: int) -> Column:

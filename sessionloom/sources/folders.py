@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 
 
@@ -53,6 +55,9 @@ class Folder:
 
 def checkpoint_owner(spark: SparkSession, checkpoint: str) -> str:
     """The id that Spark gives a stream with its checkpoint; a fresh checkpoint has another one."""
-    import json
-
     return json.loads(Folder(spark, checkpoint).read("metadata").splitlines()[0])["id"]
+
+
+def batch_watermark(spark: SparkSession, checkpoint: str, batch_id: int) -> int:
+    """The watermark of a batch in milliseconds, as Spark noted it in the checkpoint before the batch began."""
+    return json.loads(Folder(spark, checkpoint).read(f"offsets/{batch_id}").splitlines()[1])["batchWatermarkMs"]

@@ -36,10 +36,38 @@ def stream_best(df: DataFrame, length: int, slide: int, delay: str = "10 seconds
 def _closed_windows(df: DataFrame, length: int, slide: int, delay: str, keys: Sequence[str]) -> DataFrame:
     """Two chained aggregations: raw rows to panes of one slide, closed panes to the windows that hold them."""
     panes_per_window(length, slide)
-    panes = (
+    panes = _closed_panes(df, slide, delay, keys)
+    windows = F.window(F.window_time("pane"), f"{length} seconds", f"{slide} seconds").alias("span")
+    return panes.groupBy(windows, *keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def _closed_panes(df: DataFrame, slide: int, delay: str, keys: Sequence[str]) -> DataFrame:
+    return (
         df.withWatermark("ts", delay)
         .groupBy(F.window("ts", f"{slide} seconds").alias("pane"), *keys)
         .agg(F.sum("reward").cast("double").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
     )
-    windows = F.window(F.window_time("pane"), f"{length} seconds", f"{slide} seconds").alias("span")
-    return panes.groupBy(windows, *keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def stream_panes(df: DataFrame, slide: int, delay: str = "10 seconds", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Sum and count per key and pane of one slide, for append mode; ``end`` is the end of the pane in epoch seconds.
+
+    A pane comes out once, in the batch whose watermark passes its end.
+    """
+    panes = _closed_panes(df, slide, delay, keys)
+    return panes.select(*keys, F.unix_seconds("pane.end").alias("end"), "s", "n")
+
+
+def window_ends(panes: DataFrame, length: int, slide: int, after: int | None, through: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Sum and count per key over the windows of these panes that end ``after`` one time and not beyond ``through`` (epoch seconds).
+
+    The panes are dealt by group, of which each has a row per decision and tick at most; what follows per group needs no other shuffle.
+    """
+    count = panes_per_window(length, slide)
+    whole = [F.lit(n).cast("bigint") for n in (slide, (count - 1) * slide, through)]
+    first = F.col("end") if after is None else F.greatest(F.col("end"), F.lit(after + slide).cast("bigint"))
+    last = F.least(F.col("end") + whole[1], whole[2])
+    parts = int(panes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = panes.repartition(parts, keys[0]).withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+    ends = dealt.withColumn("w_end", F.explode(F.sequence("_first", "_last", whole[0])))
+    return ends.groupBy(*keys, "w_end").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))

@@ -125,6 +125,36 @@ def test_decisions_stay_in_force_while_a_group_is_silent(spark):
     assert in_force["c", 11] == (11, "x") and ("c", 9) not in in_force
 
 
+def test_an_epsilon_loop_keeps_panes_not_windows(spark):
+    """Restarted after every batch it publishes what one run and the windows of the table give; its state is one row per open pane."""
+    draw = random.Random(8)
+    batches = [[(b + draw.randint(0, 3), draw.randint(0, TICK - 1), draw.choice("abc"), draw.choice("xyz"), float(draw.randint(1, 9))) for _ in range(12)] for b in range(0, 12, 3)]
+    whole, parts = [], []
+
+    def run(stream, mark, state, sent):
+        query = loop.epsilon_stream(stream, state, mark, lambda df, i: sent.extend(tuple(r) for r in df.select("group_id", "tick", "w_end", "value").collect()), 0.1, 6 * TICK, TICK, "", NOW, 2 * TICK)
+        query.awaitTermination()
+        return query.recentProgress
+
+    progress = run(reports(spark, batches), fresh_path(spark, "mark"), fresh_path(spark, "state"), whole)
+    held = [[o["numRowsTotal"] for o in p["stateOperators"]] for p in progress]
+    assert {len(h) for h in held} == {1} and 0 < max(h[0] for h in held) <= 3 * 3 * 6
+    path, mark, state = (fresh_path(spark, n) for n in ("arriving", "mark", "state"))
+    schema = "ts timestamp, value string"
+    for rows in batches:
+        spark.createDataFrame([(at(t, s), f'{{"update":"{d}\\t{c}","group_id":"{g}"}}') for t, s, g, d, c in rows], schema).write.mode("append").parquet(path)
+        run(spark.readStream.schema(schema).parquet(path), mark, state, parts)
+    assert sorted(parts) == sorted(whole) and len({w[:2] for w in whole}) == len(whole)
+    last = (max(at(t, s) for rows in batches for t, s, *_ in rows).timestamp() - 2 * TICK) // TICK * TICK
+    scores = defaultdict(lambda: [0.0, 0])
+    for t, s, g, d, c in (r for rows in batches for r in rows):
+        for end in range(int(at(t).timestamp()) + TICK, int(at(t).timestamp()) + 7 * TICK, TICK):
+            scores[g, end, d][0] -= c
+            scores[g, end, d][1] += 1
+    best = {(g, e): min((-v / n, d) for (h, f, d), (v, n) in scores.items() if (h, f) == (g, e))[1] for g, e, _ in scores if e <= last}
+    assert best == {(g, w): v.split('"best":"')[1][0] for g, t, w, v in whole}
+
+
 def test_carried_ticks(spark):
     rows = spark.createDataFrame([("g", 10, "a"), ("g", 16, "b"), ("h", 2, "c")], "group_id string, w_end long, v string")
     got = selection.carry_forward(rows, F.lit(12).cast("long"), F.lit(18).cast("long"), 2).collect()
