@@ -249,6 +249,22 @@ def test_edited_passages_are_recalled(documents, rate, least):
     assert all(b == a + 1 and a % 2 == 0 for a, b in pairs) and len(pairs) >= least
 
 
+def test_passages_without_a_first_seed_are_found(documents):
+    """Edited passages none of whose shared windows has a key divisible by EVERY: the other windows lead to them."""
+    rows, nth = [], 0
+    while len(rows) < 8:
+        nth += 1
+        base = words(20_000 + nth, 60)
+        changed = [f"x{nth}x{i}" if i % 10 == 9 else w for i, w in enumerate(base)]
+        counts = [len(base)]
+        keys = [set(chaining.seeds_of(chaining.word_keys([" ".join(t).encode()])[0], np.array(counts))[0].tolist()) for t in (base, changed)]
+        if not keys[0] & keys[1]:
+            k = len(rows)
+            rows += [(k, " ".join(words(30_000 + k, 80) + base + words(31_000 + k, 40))), (k + 1, " ".join(words(32_000 + k, 30) + changed + words(33_000 + k, 90)))]
+    found = passages_of(documents, rows)
+    assert {(r["ref_doc_id"], r["doc_id"]) if r["ref_doc_id"] < r["doc_id"] else (r["doc_id"], r["ref_doc_id"]) for r in found} == {(k, k + 1) for k in (0, 2, 4, 6)}
+
+
 def test_ids_with_several_texts_lose_nothing(documents):
     rows = []
     for k in range(40):
