@@ -61,10 +61,13 @@ def forward_updates(df: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def forward_subscriptions(df: DataFrame, self_cluster: str, order: Sequence[str] = ("ord",)) -> DataFrame:
     """One subscription per tick and forwarded group, to the cluster of the group's first record."""
-    target = F.min_by("cluster_id", F.struct(*order)).alias("cluster_id")
+    # A number as the order is folded by hash, record by record; the first of a handful of clusters is chosen after that. A missing one comes first.
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    firsts = df.groupBy("b", "group_id", "cluster_id").agg(F.min(place).alias("_place"), F.min(place.isNotNull()).alias("_placed"))
+    target = F.min_by("cluster_id", F.struct("_placed", "_place", "cluster_id")).alias("cluster_id")
     message = F.concat(F.col("group_id"), F.lit(";" + self_cluster))
     return (
-        df.groupBy("b", "group_id")
+        firsts.groupBy("b", "group_id")
         .agg(target)
         .withColumn("topic", F.lit(TOPIC_SUBSCRIBE))
         .withColumn("value", message)

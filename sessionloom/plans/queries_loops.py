@@ -153,7 +153,8 @@ def stream_exchange(spark, sf):
         if name == "unlisted":
             # Subscriptions among them repeat with the batches too.
             again = F.when(F.col("topic") == "subscribe", F.lit(-1)).otherwise(F.col("batch"))
-            rows = rows.groupBy(*columns, again.alias("batch")).agg(F.when(F.first("topic") == "subscribe", F.lit(1)).otherwise(F.sum("n")).cast("bigint").alias("n"))
+            added = rows.groupBy(*columns, again.alias("batch")).agg(F.sum("n").alias("n"))
+            rows = added.withColumn("n", F.when(F.col("topic") == "subscribe", F.lit(1)).otherwise(F.col("n")).cast("bigint"))
         parts.append(rows.select(*columns, "n"))
     return union_streams(*parts).groupBy(*columns).agg(F.sum("n").alias("n"))
 

@@ -53,8 +53,15 @@ def exchange_input(**streams: DataFrame) -> DataFrame:
     return union_streams(*named)
 
 
+def with_addresses(rows: DataFrame) -> DataFrame:
+    """The messages with the ``group_id`` and ``cluster_id`` of forwarded updates, read once for all outputs."""
+    message = F.when(F.col("kind") == "forward", F.from_json("value", UPDATE_JSON))
+    once = rows.withColumn("_m", F.explode(F.array(message)))
+    return once.select(*rows.columns, F.col("_m.group_id").alias("group_id"), F.col("_m.cluster_id").alias("cluster_id"))
+
+
 def exchange_outputs(rows: DataFrame, pairs: DataFrame, self_cluster: str, clusters: Sequence[str], seconds: int, fraction: float) -> dict[str, DataFrame]:
-    """What a batch of the exchange sends: ``cluster_id, topic, value`` by the name of the output.
+    """What a batch of the exchange sends, from its messages ``with_addresses``: ``cluster_id, topic, value`` by the name of the output.
 
     To the backend: ``upload`` copies of the records, ``sample`` counts of their feature values, ``alive`` from this cluster, with or without records.
     To other clusters: ``push`` decisions for their subscriptions of earlier ticks, ``forward`` updates of their groups, and ``subscribe`` to
@@ -70,10 +77,10 @@ def exchange_outputs(rows: DataFrame, pairs: DataFrame, self_cluster: str, clust
     )
     pushed = push_decisions(decisions, pairs, self_cluster).select("cluster_id", "topic", "value")
 
-    owned = rows.filter(F.col("kind") == "forward").select("key", "ts", "value", F.from_json("value", UPDATE_JSON).alias("_m"))
-    known = owned.select(
-        F.col("_m.cluster_id").alias("cluster_id"), F.col("_m.group_id").alias("group_id"), tick_of("ts", seconds).alias("b"), "key", "value"
-    ).filter(F.col("cluster_id").isNotNull() & F.col("group_id").isNotNull())
+    owned = rows.filter(F.col("kind") == "forward")
+    known = owned.select("cluster_id", "group_id", tick_of("ts", seconds).alias("b"), "key", "value").filter(
+        F.col("cluster_id").isNotNull() & F.col("group_id").isNotNull()
+    )
     forwarded = known.select("cluster_id", F.lit(TOPIC_INTERNAL).alias("topic"), "value")
     subscribed = forward_subscriptions(known, self_cluster, ("key",)).select("cluster_id", "topic", "value")
 
@@ -115,7 +122,7 @@ def exchange_stream(
             owner = checkpoint_owner(spark, checkpoint)
             kept.append((subscription_store(spark, state_path, owner), BatchOutputs(spark, out_path, owner, publishers)))
         store, outputs = kept[0]
-        rows = batch.persist()
+        rows = with_addresses(batch).persist()
         try:
             heard = rows.filter(F.col("kind") == "subscribe").select(tick_of("ts", seconds).alias("b"), "value")
             new = subscriptions(parse_subscriptions(heard))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom import streaming
-from sessionloom.operators import selection, versions
+from sessionloom.operators import exchange, selection, versions
 from sessionloom.plans import decision_loop as loop
 from sessionloom.plans.replay import replay
 from sessionloom.session import fresh_path
@@ -165,6 +165,19 @@ class Lost(Exception):
     pass
 
 
+def test_first_clusters_are_folded_by_hash(spark):
+    """The cluster of the first record of each tick and group, one without a number first; records are not sorted for it."""
+    draw = random.Random(6)
+    rows = [(draw.randint(0, 2), draw.choice("gh"), f"c{draw.randint(0, 4)}", n) for n in draw.sample(range(1000), 200)] + [(7, "g", "c9", None), (7, "g", "c1", 1)]
+    df = spark.createDataFrame(rows, "b long, group_id string, cluster_id string, key long")
+    got = exchange.forward_subscriptions(df, "me", ("key",))
+    want = {}
+    for b, g, c, n in sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0)):
+        want.setdefault((b, f"{g};me"), c)
+    assert {(r.b, r.value): r.cluster_id for r in got.collect()} == want
+    assert "HashAggregate(keys=[b" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def exchange_batches(spark):
     def update(g, c):
         return f'{{"update":"d\\t1","group_id":"{g}","cluster_id":"{c}"}}'
