@@ -265,6 +265,58 @@ def test_passages_without_a_first_seed_are_found(documents):
     assert {(r["ref_doc_id"], r["doc_id"]) if r["ref_doc_id"] < r["doc_id"] else (r["doc_id"], r["ref_doc_id"]) for r in found} == {(k, k + 1) for k in (0, 2, 4, 6)}
 
 
+def test_windows_meet_as_arrays(spark, documents):
+    """Windows go to their shards in a row for each shard and batch, not one each; those that come back are the repeated ones, by brute force."""
+    base = words(77, 90)
+    rows = [(k, " ".join(words(40 + k, 30 + 9 * k) + (base if k % 3 else base[:50]) + words(60 + k, 20))) for k in range(12)] + [(12, " ".join(words(99, 49))), (13, ""), (14, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([5] * len(rows), pa.int64()), pa.array([t and t.encode() for _, t in rows], pa.binary())], ["id", "d", "text"])
+    where = {}
+    for k, text in rows:
+        held = (text or "").split()
+        for i in range(len(held) - chaining.SEED + 1) if len(held) >= chaining.LEAST else ():
+            where.setdefault(tuple(held[i : i + chaining.SEED]), []).append((k, i))
+    spots = sum(map(len, where.values()))
+    dealt = list(chaining.packed(tuple(range(chaining.EVERY)), 7)([batch]))
+    assert sum(b.num_rows for b in dealt) <= 7 and sum(len(x) for b in dealt for c in (4, 5, 6) for x in b.column(c).to_pylist()) <= 13 * spots
+    want = sorted((s, min(group)) for group in where.values() if len(group) > 1 for s in group)
+    texts = documents([r for r in rows if r[1] is not None]).selectExpr("doc_id AS id", "5L AS d", "CAST(text AS BINARY) AS text")
+    for paired in (False, True):
+        found = chaining.repeated_windows(texts, tuple(range(chaining.EVERY)), paired).collect()
+        assert sorted((r.id, r.pos) for r in found) == [s for s, _ in want]
+        if paired:
+            assert sorted(((r.id, r.pos), (r.ref, r.ref_pos)) for r in found) == want
+
+
+def test_a_key_of_many_batches_keeps_its_ends():
+    """Partners by the first and last occurrence in each order, the same however the rows of a key are cut."""
+    draw = random.Random(4)
+    spots = sorted({(draw.randrange(5), draw.randrange(60), draw.randrange(9)) for _ in range(400)})
+    ranks = {k: [draw.randrange(1 << 40) for _ in range(chaining.ORDERS)] for k in range(60)}
+    rows = sorted([(*s, False) for s in spots] + [(*s, True) for s in spots if draw.random() < 0.5], key=lambda r: (r[0], r[3]))
+    want = set()
+    for h, k, i, asks in rows:
+        for order in range(chaining.ORDERS) if asks else ():
+            group = sorted((ranks[t][order], t, j) for g, t, j in spots if g == h)
+            first, last = group[0][1:], group[-1][1:]
+            here = first[0] == k and (last[0] == k and first[1] == i or last[0] != k)
+            want |= {(k, i, *(last if here else first))} - {(k, i, k, i)}
+    columns = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([0] * len(rows)), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows])]
+    columns += [pa.array([ranks[r[1]][order] for r in rows]) for order in range(chaining.ORDERS)]
+    whole = pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+    for cut in (3, 50, len(rows)):
+        found = [r for b in chaining.others()(whole.slice(s, cut) for s in range(0, len(rows), cut)) for r in b.to_pylist()]
+        assert {(r["id"], r["pos"], r["ref"], r["ref_pos"]) for r in found} == want
+
+
+def test_equal_runs_at_once_and_by_diagonal(monkeypatch):
+    draw = np.random.default_rng(8)
+    x, y = draw.integers(0, 3, (2, 300), dtype=np.uint32)
+    x[40:90], y[70:120], y[200:230] = 7, 7, x[100:130]
+    at_once = chaining.equal_runs(x, y, 6, range(-80, 150))
+    monkeypatch.setattr(chaining, "SMALL", 0)
+    assert sorted(at_once) == sorted(chaining.equal_runs(x, y, 6, range(-80, 150))) and (30, 100, 100) in [(min(n, 30), i, d) for n, i, d in at_once if d == 100 and i == 100]
+
+
 def test_ids_with_several_texts_lose_nothing(documents):
     rows = []
     for k in range(40):
