@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from sessionloom.llm import chaining, minhash_bayes, qgram_bands
@@ -308,6 +309,92 @@ def test_a_key_of_many_batches_keeps_its_ends():
         assert {(r["id"], r["pos"], r["ref"], r["ref_pos"]) for r in found} == want
 
 
+def held_in_parts(base: list[str], decoys: int, first: int) -> list[tuple[int, str]]:
+    """Texts that hold all of ``base`` in pieces of 24 words, too short for a passage and far apart."""
+    rows = []
+    for k in range(decoys):
+        order = random.Random(k).sample(range(0, len(base) - 23, 12), (len(base) - 24) // 12 + 1)
+        rows.append((first + k, " ".join(w for n, cut in enumerate(order) for w in words(50_000 + 97 * k + n, 30) + base[cut : cut + 24])))
+    return rows
+
+
+def test_a_passage_among_many_holders_of_its_parts_is_found(documents):
+    """Every window of the passage lies in 250 other texts, so that the one that shares all of it is hardly ever the first or last of them."""
+    rows = []
+    for k in range(2):
+        base = words(40_000 + k, 60)
+        rows += [(9000 + 2 * k, " ".join(words(41_000 + k, 40) + base + words(42_000 + k, 30))), (9001 + 2 * k, " ".join(words(43_000 + k, 20) + base + words(44_000 + k, 50)))]
+        rows += [(i, t) for i, t in held_in_parts(base, 250, 1000 * (k + 1))]
+    found = passages_of(documents, rows)
+    assert {tuple(sorted((r["doc_id"], r["ref_doc_id"]))) for r in found} == {(9000, 9001), (9002, 9003)}
+    assert all(r["end"] - r["start"] >= 58 for r in found)
+
+
+def test_texts_that_go_on_in_a_period_are_passages(documents):
+    """One word, two words or a line over and over: shared by two texts at other places, and in one text alone; rows that repeat change nothing."""
+    tell = [["of"], ["is", "one"], words(45, 7), words(46, 30)]
+    rows = []
+    for k, unit in enumerate(tell):
+        long = (unit * 200)[:200]
+        rows += [(2 * k, " ".join(words(700 + k, 30) + long + words(710 + k, 20))), (2 * k + 1, " ".join(words(720 + k, 55) + long[:150] + words(730 + k, 20)))]
+    rows += [(8, " ".join(words(740, 30) + ["solo"] * 160 + words(741, 20)))]
+    covered: dict[int, set[int]] = {}
+    for given in (rows, rows + rows):
+        found = passages_of(documents, given)
+        for r in found:
+            covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+            covered.setdefault(r["ref_doc_id"], set()).update(range(r["ref_start"], r["ref_end"]))
+        assert {(r["doc_id"], r["ref_doc_id"]) for r in found} >= {(2 * k + 1, 2 * k) for k in range(4)} | {(8, 8)}
+        for k in range(4):
+            assert len(covered[2 * k + 1] & set(range(55, 205))) >= 140 and len(covered[2 * k] & set(range(30, 230))) >= 145
+        assert len(covered.pop(8) & set(range(30, 190))) >= 140
+        covered.clear()
+
+
+def test_all_holders_meet_by_document_as_they_do_by_key():
+    """The documents that seeds are sent to give the passages that a row for each pair of a seed and a holder gives."""
+    draw = random.Random(12)
+    lines = [words(60_000 + k, draw.choice((9, 14, 25, 40))) for k in range(8)]
+    texts = []
+    for k in range(120):
+        parts = [draw.choice((lines[draw.randrange(8)], edited(lines[draw.randrange(8)], 0.1, k), words(61_000 + 13 * k + n, draw.randint(1, 20)))) for n in range(9)]
+        texts.append([w for p in parts for w in p])
+    texts += [words(65_000 + k, 20) + ["of"] * (60 + k) + words(66_000 + k, 9) for k in range(3)]
+    blobs = pa.array([" ".join(t).encode() for t in texts], pa.binary())
+    ids, ds = pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int64())
+    dealt = chaining.packed(tuple(range(chaining.EVERY)), 1)([pa.RecordBatch.from_arrays([ids, ds, blobs], ["id", "d", "text"])])
+    table = pa.Table.from_batches(chaining.repeated(False)(dealt))
+    runs = table.filter(pc.equal(table["nth"], 0))
+    names = ["h", "id", "id", "d", "pos", "nth", "size", "step"]
+
+    by_key = pa.concat_tables([pa.table([*(part[n] for n in names), pa.array([asks] * len(part))], ["h", "rank", "id", "d", "pos", "nth", "size", "step", "asks"]) for part, asks in ((runs, False), (table, True))])
+    by_key = by_key.sort_by([("h", "ascending"), ("asks", "ascending"), ("rank", "ascending")]).combine_chunks()
+    pairs = pa.Table.from_batches(chaining.answered(1 << 40)(by_key.to_batches()))
+    pairs = pairs.append_column("diagonal", pc.subtract(pairs["pos"], pairs["ref_pos"])).sort_by([(n, "ascending") for n in ("id", "ref", "diagonal", "pos")])
+    every = chaining.chained()(pairs.select([*chaining.SIDES, "pos", "ref_pos"]).combine_chunks().to_batches())
+
+    def listed(part, asks):
+        fields = ("id", "d", "pos", "h", "nth", "size", "step")
+        windows = [[r | {"asks": asks} for r in part.filter(pc.equal(part["id"], k)).select(fields).to_pylist()] for k in range(len(texts))]
+        kind = pa.list_(pa.struct([(n, table.schema.field(n).type) for n in fields] + [("asks", pa.bool_())]))
+        return pa.Table.from_batches(chaining.beside([pa.RecordBatch.from_arrays([ids, blobs, pa.array(windows, kind)], ["own", "text", "windows"])]))
+
+    asked, held = listed(table, True).sort_by("h"), listed(runs, False).combine_chunks().to_batches()
+    seeds = {n: asked[n].to_numpy().astype(np.int64) for n in ("own", "pos", "h", "nth", "size", "step", "before", "after")} | {"document": asked["own"].to_numpy()}
+    matches = list(chaining.tiled(seeds, ids, ds)(held))
+    by_document = chaining.chained()(matches)
+
+    def passages(chains):
+        rows = [r | {"words": whole[r["id"]], "ref_words": whole[r["ref"]], "from": 0, "ref_from": 0} for b in chains for r in b.to_pylist()]
+        columns = [pa.array([r[n] for r in rows], pa.binary() if "words" in n else pa.int64()) for n in chaining.FIELDS]
+        return {tuple(r.values()) for b in chaining.aligned([pa.RecordBatch.from_arrays(columns, list(chaining.FIELDS))]) for r in b.to_pylist()}
+
+    whole = [chaining.word_keys([blob])[0].astype(np.uint32).tobytes() for blob in blobs.to_pylist()]
+    want = passages(every)
+    assert passages(by_document) == want and len(want) > 500
+    assert sum(b.num_rows for b in matches) < len(pairs)
+
+
 def test_equal_runs_at_once_and_by_diagonal(monkeypatch):
     draw = np.random.default_rng(8)
     x, y = draw.integers(0, 3, (2, 300), dtype=np.uint32)
