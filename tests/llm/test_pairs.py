@@ -385,8 +385,9 @@ def test_all_holders_meet_by_document_as_they_do_by_key():
     by_document = chaining.chained()(matches)
 
     def passages(chains):
-        rows = [r | {"words": whole[r["id"]], "ref_words": whole[r["ref"]], "from": 0, "ref_from": 0} for b in chains for r in b.to_pylist()]
-        columns = [pa.array([r[n] for r in rows], pa.binary() if "words" in n else pa.int64()) for n in chaining.FIELDS]
+        rows = [r | {"words": whole[r["id"]], "ref_words": [whole[r["ref"]][:400], whole[r["ref"]][400:]], "from": 0, "ref_from": 0} for b in chains for r in b.to_pylist()]
+        kinds = {"words": pa.binary(), "ref_words": pa.list_(pa.binary())}
+        columns = [pa.array([r[n] for r in rows], kinds.get(n, pa.int64())) for n in chaining.FIELDS]
         return {tuple(r.values()) for b in chaining.aligned([pa.RecordBatch.from_arrays(columns, list(chaining.FIELDS))]) for r in b.to_pylist()}
 
     whole = [chaining.word_keys([blob])[0].astype(np.uint32).tobytes() for blob in blobs.to_pylist()]
